@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import quality, sharding
 
 QUERIES = {
+    "op5_quality": quality.op5_quality,
     "op8_sharding": sharding.op8_sharding,
 }
 
