@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import language_id, quality, sharding
 
 QUERIES = {
+    "op7_language_id": language_id.op7_language_id,
     "op5_quality": quality.op5_quality,
     "op8_sharding": sharding.op8_sharding,
 }
