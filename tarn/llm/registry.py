@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_id, quality, sharding
+from . import chat, language_id, quality, sharding
 
 QUERIES = {
+    "op2_chat": chat.op2_chat,
     "op7_language_id": language_id.op7_language_id,
     "op5_quality": quality.op5_quality,
     "op8_sharding": sharding.op8_sharding,
