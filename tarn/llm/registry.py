@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, language_id, quality, sharding
+from . import chat, language_id, packing, quality, sharding
 
 QUERIES = {
+    "op4_packing": packing.op4_packing,
     "op2_chat": chat.op2_chat,
     "op7_language_id": language_id.op7_language_id,
     "op5_quality": quality.op5_quality,
