@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, language_id, packing, quality, sharding
+from . import chat, language_id, near_dedup, packing, quality, sharding
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op4_packing": packing.op4_packing,
     "op2_chat": chat.op2_chat,
     "op7_language_id": language_id.op7_language_id,
@@ -12,4 +13,6 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_near_dedup": near_dedup.OP1_SQL,
+}
