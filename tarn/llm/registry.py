@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, language_id, near_dedup, packing, quality, sharding
+from . import chat, fingerprints, language_id, near_dedup, packing, quality, sharding
 
 QUERIES = {
+    "op3_fingerprints": fingerprints.op3_fingerprints,
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op4_packing": packing.op4_packing,
     "op2_chat": chat.op2_chat,
