@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import heapq
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +29,10 @@ CAPACITY = 4096
 #: A longer remainder is cut, so that a window holds several pieces and sums can be balanced.
 MAX_PIECE = 1024
 #: Tokens in a group that is packed together; bounds memory and the differencing's work.
-GROUP_TOKENS = 1 << 20
+GROUP_TOKENS = 1 << 19
 END_ID = 2
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 
 
 def karmarkar_karp(sizes: list[int], k: int) -> tuple[list[int], int]:
@@ -84,58 +85,73 @@ def pack_sizes(sizes: list[int], capacity: int = CAPACITY) -> list[int]:
         k += 1
 
 
+def _byte_letters() -> str:
+    """Byte-level tokenizers' letter of each byte: itself if printable in Latin-1, else from U+0100 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(hidden)) for b in range(256))
+
+
 class WordEncoder:
     """Token ids of texts as little-endian uint32 bytes, word by word, with a bounded memory of words.
 
-    For a tokenizer that lower-cases, drops white space and never joins across it, or across the end of a run of
-    letters or digits, a text's ids are those of its words in order, and a word's those of its letters and of
-    the ASCII punctuation after them. Only ASCII white space splits here; all else is left to the tokenizer. New
-    words are encoded many at a time, with a special token between them.
+    For a byte-level tokenizer that lower-cases, drops white space, marks a word's end and never joins across it or
+    across the end of a run of letters, a text's ids are those of its words in order, and a word's those of its
+    letters and of the ASCII punctuation after them. Only ASCII white space splits here. Plain Latin-1 words go to
+    the tokenizer's model without its normaliser and pattern, which wouldn't change them; all else goes to the
+    whole tokenizer. New words are encoded many at a time: the end mark, or a special token, tells them apart.
     """
 
-    PUNCTUATION = b"!#$%&*,./:;?|"
-
-    def __init__(self, path: str, separator: str = "<|startoftext|>", most: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
-        self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
-
-    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, plain = {}, []
-        for word in words:
-            if b"<|" in word:  # may hold a special token
-                out[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                plain.append(word)
-        groups = [plain[k : k + 1024] for k in range(0, len(plain), 1024)]
-        texts = [self.separator.join([w.decode() for w in g]) for g in groups]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+    _WORD = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*,./:;?|]*)|(.+))$", re.MULTILINE)
+    _LETTERS = _byte_letters()
+
+    def __init__(self, path: str, separator: str = "<|startoftext|>", end: str = "</w>", most: int = CACHE_WORDS):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.known, self.most, self.separator = Tokenizer.from_file(path), {}, most, separator
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(end)]] = True
+        self.separator_id = self.tokenizer.token_to_id(separator)
+
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        """By the whole tokenizer."""
+        out = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words if "<|" in w}
+        words = [w for w in words if "<|" not in w]
+        groups = [words[k : k + 1024] for k in range(0, len(words), 1024)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([self.separator.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, "<u4")
             cut = np.flatnonzero(ids == self.separator_id)
             raw, starts, ends = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), 4 * len(ids)]
             out.update((w, raw[a:b]) for w, a, b in zip(group, starts, ends, strict=True))
         return out
 
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words of lower-case Latin-1 letters."""
+        letters = [w if w.isascii() else w.encode().decode("latin-1").translate(self._LETTERS) for w in words]
+        out = []
+        for got in self.plain.encode_batch_fast([" ".join(letters[k : k + 1024]) for k in range(0, len(letters), 1024)], add_special_tokens=False):
+            ids = np.array(got.ids, "<u4")
+            raw, cut = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of a few hundred texts."""
+        """Ids of a few dozen texts."""
         split = [(text if b"<|" in text else text.lower()).split() for text in texts]
-        words = set().union(*split)
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known = dict(itertools.islice(self.known.items(), len(self.known) // 2, None))  # the newer half stays
-            new = words.difference(self.known)
-        parts = {}
-        for word in new:
-            core = word.rstrip(self.PUNCTUATION)
-            if core != word and core[-1:].isalnum():  # bytes: ASCII only
-                parts[word] = core, word[len(core) :]
-        if new:
-            wanted = new.difference(parts)
-            wanted.update(itertools.chain.from_iterable(parts.values()))
-            self.known.update(self._encode_words(sorted(wanted.difference(self.known))))
-            self.known.update((word, self.known[a] + self.known[b]) for word, (a, b) in parts.items())
-        look_up = self.known.__getitem__
+        here = dict.fromkeys(itertools.chain.from_iterable(split))  # small enough for the processor's cache, unlike all known words
+        here = dict(zip(here, map(self.known.get, here), strict=True))
+        if new := [word for word, ids in here.items() if ids is None]:
+            found = self._WORD.findall(b"\n".join(new).decode())  # letters and tail of a plain word, or else the word
+            other = self._encode([*{x[1] for x in found if x[1]}, *(x[2] for x in found if x[2])]) | {"": b""}
+            plain = iter(self._encode_plain([x[0].lower() for x in found if x[0]]))
+            fresh = {word: next(plain) + other[tail] if letters else other[whole] for word, (letters, tail, whole) in zip(new, found, strict=True)}
+            here.update(fresh)
+            if len(self.known) + len(fresh) > self.most:
+                self.known = dict(itertools.islice(self.known.items(), len(self.known) // 2, None))  # the newer half stays
+            self.known.update(fresh)
+        look_up = here.__getitem__
         return [b"".join(map(look_up, x)) for x in split]
 
 
@@ -184,7 +200,7 @@ def pack_documents(
             done.clear()
             return made
 
-        for batch in batches_of(batches, 256):
+        for batch in batches_of(batches, 64):
             id_type = batch.schema.field(0).type
             texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):

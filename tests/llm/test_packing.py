@@ -8,12 +8,12 @@ import pytest
 from tarn.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ALPHABET = [".", ",", "#", "<|ENDOFTEXT|>", "a", "B", "é", "é", " ", "\n", "\x1c", "\x85", "\xa0", "<|endoftext|>", "<|endof", "'s", "'", "1", "中", "Σ", "ς", "́", "!", "\x0b", "İ", "ﬁ", "﻿", "<|startoftext|>", "word", "Word."]
+ALPHABET = [".", ",", "#", "<|ENDOFTEXT|>", "a", "B", "é", "é", " ", "\n", "\x1c", "\x85", "\xa0", "<|endoftext|>", "<|endof", "'s", "'", "1", "中", "Σ", "ς", "́", "!", "\x0b", "İ", "ﬁ", "﻿", "<|startoftext|>", "word", "Word.", "Être", "straße,", "Ñ", "ÿ!", "×", "÷", "ª", "ñu"]
 
 
 @pytest.mark.parametrize("seed", range(4))
 def test_word_ids_are_those_of_the_whole_text(seed):
-    encoder, rnd = packing.WordEncoder(PATH, most=60), random.Random(seed)
+    encoder, rnd = packing.WordEncoder(PATH, most=40), random.Random(seed)
     texts = ["".join(rnd.choices(ALPHABET, k=rnd.randrange(40))) for _ in range(400)]
     got = [x for k in range(0, 400, 20) for x in encoder.encode([t.encode() for t in texts[k : k + 20]])]
     for text, ids in zip(texts, got, strict=True):
