@@ -11,19 +11,23 @@ from .common import materialise
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, label) of every node of ``edges`` (src, dst): the label is the smallest node of its component.
 
-    Each round takes the smallest label among the neighbours and then the label's own label, so that chains
-    shrink by more than half; labels are written to the shared folder after each round. Loops and repeated edges do
-    no harm, edges with a null end are ignored, no edges give no rows.
+    Each round sends every node to its smallest neighbour, and once more to that one's, and carries on with the edges
+    between the nodes that are left, so that tables shrink from round to round. What a round leaves is written to
+    the shared folder. Loops and repeated edges do no harm, edges with a null end are ignored, no edges give no rows.
     """
-    both = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst")
-    both = materialise(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), f"{tag}-edges")
-    labels = materialise(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("label")), f"{tag}-labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        above = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        jumped = hooked.join(above, "label", "left").select("node", "old", F.least("label", F.coalesce("above", "label")).alias("label"))
-        done = materialise(jumped, f"{tag}-labels")
-        labels = done.select("node", "label")
-        if done.where("old <> label").isEmpty():
-            return labels
+    left = materialise(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct(), f"{tag}-edges")
+    labels = None
+    while labels is None or not left.isEmpty():
+        ends = left.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("to")), F.struct(F.col("dst").alias("node"), F.col("src").alias("to")))).alias("e"))
+        near = ends.select("e.*").groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to"))
+        above = near.select(F.col("node").alias("to"), F.col("to").alias("top"))
+        moved = materialise(near.join(above, "to").select("node", F.col("top").alias("to")), f"{tag}-moved")
+        if labels is None:
+            labels = moved.select("node", F.col("to").alias("label"))
+        else:
+            carried = labels.join(moved.select(F.col("node").alias("label"), "to"), "label", "left")
+            labels = materialise(carried.select("node", F.coalesce("to", "label").alias("label")), f"{tag}-labels")
+        src, dst = (moved.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("src", "dst"))
+        joined = left.join(src, "src").join(dst, "dst").where("src_to <> dst_to")
+        left = materialise(joined.select(F.col("src_to").alias("src"), F.col("dst_to").alias("dst")).distinct(), f"{tag}-edges")
+    return labels
