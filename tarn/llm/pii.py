@@ -33,6 +33,8 @@ HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){
 #: Other tokens that may be identifiers: a digit or at sign among word characters.
 TOKEN = r"(?<![A-Za-z0-9@._%+/:#-])(?=[A-Za-z._%+/:#-]*+[0-9@])[A-Za-z0-9@][A-Za-z0-9@._%+/:#-]*+"
 
+#: Matches of a text that are gone through at once.
+CHUNK = 128
 ROUNDS = 3
 #: A pattern's least score and least sum of its distinct values' confidences.
 PATTERN_SCORE, PATTERN_SUPPORT = 0.8, 5.0
@@ -44,7 +46,7 @@ def _spans(text: Column, pattern: str, hint: str) -> Column:
     """Matches as array<struct<start,end,value,left>>: code points, end exclusive; left is the word before."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("value"))
-    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,value:string,left:string>>))")
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,left:string>>)")
 
     def add(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
@@ -55,8 +57,14 @@ def _spans(text: Column, pattern: str, hint: str) -> Column:
         out = F.when(pair["value"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(found)))
         return F.struct(F.coalesce(end, acc["at"]).cast("int").alias("at"), out.alias("out"))
 
-    found = F.aggregate(pairs, empty, add, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(hint)), found).otherwise(empty["out"])
+    # Chunks keep the appended arrays short, so that time grows with the number of matches and not its square.
+    # transform() over one element binds the pairs, which else were computed for every chunk.
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda i: F.slice(p, i * CHUNK + 1, CHUNK))
+    chunks = F.element_at(F.transform(F.array(pairs), cut), 1)
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    done = F.aggregate(chunks, F.array(start), lambda acc, c: F.concat(acc, F.array(F.aggregate(c, F.struct(F.element_at(acc, -1)["at"].alias("at"), none.alias("out")), add))))
+    found = F.flatten(F.transform(done, lambda x: x["out"]))
+    return F.when(F.regexp_like(text, F.lit(hint)), found).otherwise(none)
 
 
 def _holds(kind: str, value: Column) -> Column:
@@ -88,14 +96,15 @@ def find_mentions(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("__text"))
     for kind in KINDS:
         found = found.withColumn(kind, F.filter(_spans(F.col("__text"), PATTERNS[kind], HINTS[kind]), _holding(kind)))
-    base = F.concat(*KINDS)
     trimmed = F.transform(
         _spans(F.col("__text"), TOKEN, "[0-9@]"),
         lambda s: s.withField("value", F.rtrim(s["value"], F.lit("._%+/:#-"))).withField("end", (s["start"] + F.length(F.rtrim(s["value"], F.lit("._%+/:#-")))).cast("int")),
     )
     likely = lambda s: (F.length(s["value"]) >= 5) & F.regexp_like(s["value"], F.lit("@|(?:[0-9].*){4}"))
-    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return found.withColumn("tokens", F.filter(F.filter(trimmed, likely), free)).drop("__text")
+    # Written before the arrays are compared: else the optimiser moves the patterns into the comparison of every pair.
+    found = materialise(found.withColumn("tokens", F.filter(trimmed, likely)).drop("__text"), "pii-mentions")
+    base = F.concat(*KINDS)
+    return found.withColumn("tokens", F.filter("tokens", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
 
 
 def discover(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -125,7 +134,7 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     A null text is empty and has no spans. Repeated rows get the same answer each; rows without an id are read like
     others; extra columns are ignored; an empty table gives an empty one. Added spans never overlap base ones.
     """
-    mentions = materialise(find_mentions(docs), "pii-mentions")
+    mentions = find_mentions(docs)
     values = discover(mentions, rounds)
     place = lambda k: lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     tokens = mentions.select("doc_id", "key", F.explode("tokens").alias("t"))
