@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
+from .spans import last_word, spans
 
 #: In the order of the digest.
 KINDS = ("email", "ip", "card", "phone")
@@ -33,8 +34,6 @@ HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){
 #: Other tokens that may be identifiers: a digit or at sign among word characters.
 TOKEN = r"(?<![A-Za-z0-9@._%+/:#-])(?=[A-Za-z._%+/:#-]*+[0-9@])[A-Za-z0-9@][A-Za-z0-9@._%+/:#-]*+"
 
-#: Matches of a text that are gone through at once.
-CHUNK = 128
 ROUNDS = 3
 #: A pattern's least score and least sum of its distinct values' confidences.
 PATTERN_SCORE, PATTERN_SUPPORT = 0.8, 5.0
@@ -43,28 +42,8 @@ CONFIDENT = 0.9
 
 
 def _spans(text: Column, pattern: str, hint: str) -> Column:
-    """Matches as array<struct<start,end,value,left>>: code points, end exclusive; left is the word before."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("value"))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,left:string>>)")
-
-    def add(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["value"])
-        left = F.lower(F.substring_index(F.rtrim(F.translate(pair["gap"], "\n\t\r\f\u000b", "     ")), " ", -1))
-        left = F.btrim(left, F.lit(".,;:!?()[]{}\"'=<>|*#$%&"))
-        found = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), pair["value"].alias("value"), left.alias("left"))
-        out = F.when(pair["value"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(found)))
-        return F.struct(F.coalesce(end, acc["at"]).cast("int").alias("at"), out.alias("out"))
-
-    # Chunks keep the appended arrays short, so that time grows with the number of matches and not its square.
-    # transform() over one element binds the pairs, which else were computed for every chunk.
-    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda i: F.slice(p, i * CHUNK + 1, CHUNK))
-    chunks = F.element_at(F.transform(F.array(pairs), cut), 1)
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    done = F.aggregate(chunks, F.array(start), lambda acc, c: F.concat(acc, F.array(F.aggregate(c, F.struct(F.element_at(acc, -1)["at"].alias("at"), none.alias("out")), add))))
-    found = F.flatten(F.transform(done, lambda x: x["out"]))
-    return F.when(F.regexp_like(text, F.lit(hint)), found).otherwise(none)
+    """Matches as array<struct<start,end,value,left>>; left is the word before."""
+    return F.transform(spans(text, pattern, hint), lambda s: F.struct(s["start"], s["end"], s["value"], last_word(s["before"]).alias("left")))
 
 
 def _holds(kind: str, value: Column) -> Column:

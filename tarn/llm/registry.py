@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, language_id, near_dedup, packing, pii, quality, sentencepiece_io, sharding
+from . import chat, fingerprints, language_id, near_dedup, packing, pii, quality, secret_scan, sentencepiece_io, sharding
 
 QUERIES = {
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op10_pii": pii.op10_pii,
     "op9_sentencepiece": sentencepiece_io.op9_sentencepiece,
     "op3_fingerprints": fingerprints.op3_fingerprints,
