@@ -1,0 +1,143 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+from tarn.operators import evaluate as E
+from tarn.operators import feedback as B
+from tarn.operators import ranking as R
+from tarn.operators.diversify import greedy_mmr, mmr_rerank
+from tarn.operators.index import Index, build_index
+
+
+def value(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+@pytest.fixture(scope="module")
+def ten(spark):
+    """Ten documents, mean length 45: df machine 3, learning 4."""
+    tf = spark.createDataFrame([(0, "machine", 3), (0, "learning", 4), (4, "machine", 1), (4, "learning", 5), (7, "machine", 2), (7, "learning", 3), (1, "learning", 1)], "doc_id long, term string, tf int")
+    lengths = spark.createDataFrame([(0, 16), (4, 40), (7, 45), (1, 60)], "doc_id long, doc_len long")
+    vocab = spark.createDataFrame([("machine", 3), ("learning", 4)], "term string, df long")
+    stats = spark.createDataFrame([(10, 45.0, "v")], "total_docs long, avg_doc_length double, version string")
+    return Index(lengths, tf, tf, vocab, vocab, lengths, stats)
+
+
+def terms_of(spark, counts):
+    df = {"machine": 3, "learning": 4, "nothing": 0}
+    return spark.createDataFrame([(0, t, df[t], n) for t, n in counts.items()], "query_id long, term string, df long, qtf int")
+
+
+def scores(spark, index, mode, counts, **kw):
+    found = spark.createDataFrame([(0, d) for d in (0, 4, 7, 1, 99)], "query_id long, doc_id long")
+    return {r.doc_id: r.score for r in R.score(index, found, terms_of(spark, counts), mode, **kw).collect()}
+
+
+def test_tfidf(spark, ten):
+    got = scores(spark, ten, "tfidf", {"machine": 1, "learning": 1})
+    assert got[0] == pytest.approx(3 * math.log10(10 / 3) + 4 * math.log10(10 / 4)) == pytest.approx(3.1603, abs=1e-4)
+    assert got[0] > got[7] > got[1] > got[99] == 0.0
+    assert scores(spark, ten, "tfidf", {"machine": 2, "learning": 2})[0] == pytest.approx(2 * got[0])
+    assert value(spark, R.tfidf(F.lit(3), F.lit(10), F.lit(10))) == 0 and value(spark, R.tfidf(F.lit(3), F.lit(0), F.lit(10))) == 0 and value(spark, R.tfidf(F.lit(3), F.lit(20), F.lit(10))) == 0
+
+
+def test_bm25(spark, ten):
+    got = scores(spark, ten, "bm25", {"machine": 1, "learning": 1, "nothing": 1})
+    assert got[0] == pytest.approx(1.8013, rel=1e-3) and got[99] == 0
+    one = lambda tf, length, **kw: value(spark, R.bm25(F.lit(tf), F.lit(3), F.lit(10), F.lit(length), F.lit(45.0), **kw))
+    assert one(3, 10, b=0) == one(3, 900, b=0) and one(1, 45, k1=0) == pytest.approx(one(50, 45, k1=0)) and one(100, 45) / one(10, 45) < 1.15
+    assert value(spark, R.bm25(F.lit(2), F.lit(3), F.lit(10), F.lit(0), F.lit(0.0))) > 0
+    for bad in ({"k1": -1}, {"b": 1.1}, {"b": -0.1}):
+        with pytest.raises(ValueError):
+            one(1, 1, **bad)
+
+
+def test_vector(spark, ten):
+    got = scores(spark, ten, "cosine", {"machine": 1, "learning": 1})
+    a, b = math.log10(10 / 3), math.log10(10 / 4)
+    want = (3 * a * a + 4 * b * b) / (math.hypot(3 * a, 4 * b) * math.hypot(a, b))
+    assert got[0] == pytest.approx(want) and got[1] == pytest.approx(b / math.hypot(a, b)) and got[99] == 0
+    assert scores(spark, ten, "vector", {"machine": 1, "learning": 1}, df_scope="corpus") == pytest.approx(got)
+    assert value(spark, R.cosine(F.lit(0.0), F.lit(0.0), F.lit(1.0))) == 0
+
+
+def test_modes():
+    assert R.parse_ranking_mode(" TF-IDF ") is R.RankingMode.TFIDF and R.parse_ranking_mode("vector/cosine") is R.RankingMode.VECTOR
+    for bad in ("nope", None, 3):
+        with pytest.raises(ValueError):
+            R.parse_ranking_mode(bad)
+
+
+def test_top_k(spark):
+    rows = spark.createDataFrame([(i, 1.0) for i in range(50, 0, -1)] + [(99, float("nan")), (100, 2.0)], "doc_id long, score double")
+    assert [r.doc_id for r in R.top_k(rows, 4).collect()] == [100, 1, 2, 3] and R.top_k(rows, 0).collect() == [] == R.top_k(rows, -2).collect()
+    assert R.top_k(rows, 500).count() == 51 and len(R.top_k_for_mmr(rows).collect()) == 20
+    by = R.top_k_per_query(rows.withColumn("query_id", F.col("doc_id") % 2), 2).collect()
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in by) == [(0, 1, 100), (0, 2, 2), (1, 1, 1), (1, 2, 3)]
+
+
+def test_batch_is_single(spark):
+    docs = [(i, f"alpha beta{i % 3} gamma{i % 5} alpha" if i % 2 else f"beta{i % 3} delta") for i in range(40)]
+    index = build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    queries = spark.createDataFrame([(1, "alpha beta1"), (2, "delta delta beta2"), (3, "the of"), (4, "nothing alpha")], "query_id long, query string")
+    got = R.batch_search(index, queries, "bm25", 5).collect()
+    assert {r.query_id for r in got} == {1, 2} and all(r["rank"] <= 5 for r in got)
+    assert {r.query_id for r in R.batch_search(index, queries, "tfidf", 5, any_term=True).collect()} == {1, 2, 4}
+
+
+def test_rocchio(spark):
+    q = lambda w: spark.createDataFrame([(0, t, x) for t, x in w.items()], "session_id long, term string, weight double")
+    d = lambda w: spark.createDataFrame([(0, 1, t, x) for t, x in w.items()], "session_id long, doc_id long, term string, weight double")
+    rows = lambda df: {r.term: pytest.approx(r.weight) for r in df.collect()}
+    assert rows(B.rocchio(q({"ai": 1.0}), d({"ai": 2.0, "robotics": 1.0}))) == {"ai": 2.5, "robotics": 0.75}
+    none = d({"x": 1.0}).where("false")
+    assert rows(B.rocchio(q({"ai": 1.0}), none, d({"ai": 2.0}))) == {"ai": 0.7} and rows(B.rocchio(q({"ai": 0.1}), none, d({"ai": 2.0}))) == {}
+    with pytest.raises(ValueError):
+        B.rocchio(q({"ai": 1.0}), none, weights=(1, -1, 0))
+
+
+def test_personalise(spark):
+    index = build_index(spark.createDataFrame([(1, "ka lo mi"), (2, "ka nu")], "doc_id long, text string"))
+    terms = spark.createDataFrame([(0, "ka", 2, 1)], "query_id long, term string, df long, qtf int")
+    boosts = spark.createDataFrame([(0, "ka", 9.0), (0, "lo", 4.0), (0, "mi", 1.0), (0, "zz", 3.0), (0, "nu", -1.0)], "query_id long, term string, weight double")
+    assert sorted((r.term, r.qtf) for r in B.personalise(index, terms, boosts).collect()) == [("ka", 1), ("lo", 2), ("mi", 1)]
+
+
+def test_greedy_mmr():
+    near = {(1, 2): 0.99, (1, 3): 0.1, (2, 3): 0.1}
+    assert [d for d, _ in greedy_mmr([1, 2, 3, 1], {1: 0.9, 2: 0.89, 3: 0.5}, near, 2, 0.5)] == [1, 3]
+    assert [d for d, _ in greedy_mmr([5, 4, 3], {}, {}, 9)] == [5, 4, 3] and greedy_mmr([], {}, {}, 3) == [] == greedy_mmr([1], {}, {}, 0)
+    with pytest.raises(ValueError):
+        greedy_mmr([1], {}, {}, 1, 1.5)
+
+
+def test_mmr_over_vectors(spark):
+    vectors = {1: {"a": 1.0, "b": 0.2}, 2: {"a": 1.0, "b": 0.21}, 3: {"a": 0.6, "c": 1.0}, 4: {}}
+    pool = spark.createDataFrame([(0, d, k) for k, d in enumerate(vectors)], "query_id long, doc_id long, pool_rank int")
+    rows = spark.createDataFrame([(0, d, t, w) for d, v in vectors.items() for t, w in v.items()], "query_id long, doc_id long, term string, weight double")
+    query = spark.createDataFrame([(0, "a", 1.0)], "query_id long, term string, q_weight double")
+    got = sorted(mmr_rerank(pool, rows, query, 4, 0.5).collect(), key=lambda r: r.step)
+
+    def cos(x, y):
+        n = math.sqrt(sum(v * v for v in x.values())) * math.sqrt(sum(v * v for v in y.values()))
+        return sum(v * y.get(k, 0) for k, v in x.items()) / n if n else 0.0
+
+    want = greedy_mmr(list(vectors), {d: cos(v, {"a": 1.0}) for d, v in vectors.items()}, {(a, b): cos(vectors[a], vectors[b]) for a in vectors for b in vectors}, 4, 0.5)
+    assert [(r.doc_id, pytest.approx(r.mmr_score)) for r in got] == want
+
+
+def test_metrics(spark):
+    runs = {1: [7, 0, 4, 1, 12, 23, 5, 8, 3, 2], 2: [1, 2, 3, 4, 9], 3: [1], 4: []}
+    judged = {1: {0, 4, 7, 12, 23}, 2: {9}, 3: set(), 4: {5}}
+    retrieved = spark.createDataFrame([(q, k + 1, d) for q, ds in runs.items() for k, d in enumerate(ds)], "query_id long, rank int, doc_id long")
+    relevant = spark.createDataFrame([(q, d) for q, ds in judged.items() for d in ds], "query_id long, doc_id long")
+    report = E.evaluate(retrieved, relevant)
+    got = {r.query_id: r for r in report.collect()}
+    r = got[1]
+    assert (r.precision_at_5, r.recall_at_5, r.precision_at_10, r.recall_at_10, r.reciprocal_rank) == (0.8, 0.8, 0.5, 1.0, 1.0)
+    assert r.average_precision == pytest.approx((1 + 1 + 1 + 0.8 + 5 / 6) / 5) == pytest.approx(0.9267, abs=1e-4)
+    assert got[2].average_precision == pytest.approx(0.2) and got[2].reciprocal_rank == pytest.approx(0.2)
+    assert all(got[q].average_precision == 0 == got[q].precision_at_5 for q in (3, 4))
+    mean = E.aggregate_metrics(report).first()
+    assert mean.mrr == pytest.approx((1 + 0.2) / 4) and mean.map == pytest.approx((r.average_precision + 0.2) / 4)
+    assert "mrr" in E.format_report([mean.asDict()]) and set(E.latency(lambda: None)) == {"mean", "median", "p95", "max"}
