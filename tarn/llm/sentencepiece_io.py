@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import batches_of, table
 
 MARK = "▁"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Threads of the tokenizers library in a Python worker.
 THREADS = 2
 #: Piece types of the model format.

@@ -29,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(log2: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << log2
     up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
