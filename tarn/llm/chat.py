@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 
 @dataclass(frozen=True)
@@ -130,7 +130,7 @@ def format_turns(turns: DataFrame, template: ChatTemplate | None = None) -> Data
                 ["conv_id", "seq", "role", "segments", "state", "error"],
             )
 
-    return dealt.mapInArrow(run, schema)
+    return map_arrow(dealt, run, schema)
 
 
 _DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, n_errors long"
@@ -177,7 +177,7 @@ def read_back(formatted: DataFrame, template: ChatTemplate | None = None) -> Dat
             close()
             yield flush(key_type)
 
-    return formatted.select("conv_id", "segments", "state", "error").mapInArrow(run, f"conv_id {kind}, {_DIGEST}")
+    return map_arrow(formatted.select("conv_id", "segments", "state", "error"), run, f"conv_id {kind}, {_DIGEST}")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,4 +186,26 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
-    return read_back(format_turns(turns))
+    return read_back(format_turns(turns)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def _escaped_length(x: str) -> str:
+    """SQL for the code points of an escaped text: a backslash before each backslash and control string, which may overlap itself."""
+    gone = lambda c: f"(length({x}) - length(replace({x}, '{c}', ''))) // {len(c)}"
+    marks = f"coalesce(list_sum(list_transform(regexp_extract_all({x}, '#{{3,}}'), lambda r: length(r) - 2)), 0)"
+    return f"(length({x}) + {' + '.join(gone(c) for c in (chr(92), '</turn>', '): '))} + {marks})"
+
+
+OP2_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x, role, text FROM conversations
+  UNION ALL SELECT -7, k, v, '{chr(92)}### Assistant: </turn> ok', v, '' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(k, v)
+), sized AS (
+  SELECT *, CASE r WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 WHEN 'tool' THEN 10 ELSE 13 + {_escaped_length('r')} END + {_escaped_length('x')} + 8 AS n FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS turns_sha256,
+  CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, table
+from .common import batches_of, map_arrow, table
 from .near_dedup import band_hashes, shingle_sets
 from .shingles import MinHash, mix
 
@@ -110,7 +110,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
             kinds = (batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", *(x.split()[0] for x in _COMPARED.split(", "))])
 
-    return with_next(docs).mapInArrow(compare, f"doc_id {kind}, {_COMPARED}")
+    return map_arrow(with_next(docs), compare, f"doc_id {kind}, {_COMPARED}")
 
 
 def near_matches(queries: DataFrame, docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -131,7 +131,7 @@ def near_matches(queries: DataFrame, docs: DataFrame, similarity: float = 0.8) -
                         bands.append(band_hashes(minhash.of(items), BANDS))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["id", "bands"])
 
-        return df.mapInArrow(band, "id long, bands array<bigint>").select("id", F.explode("bands").alias("band"))
+        return map_arrow(df, band, "id long, bands array<bigint>").select("id", F.explode("bands").alias("band"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 512):
@@ -151,7 +151,7 @@ def near_matches(queries: DataFrame, docs: DataFrame, similarity: float = 0.8) -
     asked = queries.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("query_id"), F.col("text").alias("query_text")).dropDuplicates(["query_id"])
     pairs = banded(asked.select("query_id", "query_text")).withColumnRenamed("id", "query_id").join(banded(texts.select("rep", "doc_text")).withColumnRenamed("id", "rep"), "band")
     pairs = pairs.select("query_id", "rep").distinct().join(asked, "query_id").join(texts, "rep").select("query_id", "query_text", "rep", "doc_text")
-    found = pairs.mapInArrow(verify, "query_id long, rep long, jaccard double")
+    found = map_arrow(pairs, verify, "query_id long, rep long, jaccard double")
     return found.join(members, "rep").where("doc_id <> query_id").select("query_id", "doc_id", "jaccard")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, table, utf8_parts
+from .common import batches_of, map_arrow, table, utf8_parts
 
 #: Documents that the classifiers are fitted on, over all languages: the bound of the sample.
 TRAIN_DOCS = 4000
@@ -140,7 +140,7 @@ def train(docs: DataFrame, eligible: Column, most: int = TRAIN_DOCS) -> Language
             x = [features(data[at[k] : at[k + 1]]).astype(np.float16).tobytes() for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["lang", "x"])
 
-    got = sorted((r["lang"], bytes(r["x"])) for r in sample.mapInArrow(measure, "lang string, x binary").collect())
+    got = sorted((r["lang"], bytes(r["x"])) for r in map_arrow(sample, measure, "lang string, x binary").collect())
     present = sorted({lang for lang, _ in got}) or languages
     if not got:
         return LanguageModel(tuple(present[:1]), np.ones((1, 1), np.int8), np.zeros((FEATURES, 1), np.float32), np.zeros(1, np.float32))
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, model: LanguageModel, carry: list[str]) -> DataFra
                 lang.append(model.languages[best]), score.append(p), unsure.append(lead < AMBIGUOUS)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], schema.names)
 
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(predict, schema)
+    return map_arrow(docs.select(*carry, F.col("text").alias("__text")), predict, schema)
 
 
 def held_out() -> Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, chunks, materialise, table, utf8_parts
+from .common import batches_of, chunks, map_arrow, materialise, table, utf8_parts
 from .graph import connected_components
 from .shingles import MinHash, mix, shingles, words
 
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, s: NearDedup) -> DataFrame:
                 ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
             )
 
-    return docs.select("doc_id", F.col("text").alias("__text")).mapInArrow(sign, schema)
+    return map_arrow(docs.select("doc_id", F.col("text").alias("__text")), sign, schema)
 
 
 def _links_in(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], sketches: np.ndarray, s: NearDedup) -> np.ndarray:
@@ -168,7 +168,7 @@ def confirmed_links(members: DataFrame, s: NearDedup) -> DataFrame:
                     held.append((node, side, sketch, items))
         yield links()
 
-    return grouped.mapInArrow(confirm, "src long, dst long")
+    return map_arrow(grouped, confirm, "src long, dst long")
 
 
 def near_duplicate_classes(docs: DataFrame, settings: NearDedup | None = None) -> DataFrame:

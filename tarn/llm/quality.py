@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, chunks, materialise, table, utf8_parts
+from .common import batches_of, chunks, map_arrow, materialise, table, utf8_parts
 from .shingles import shingles, words
 
 #: Characters that count as symbols.
@@ -97,7 +97,7 @@ def text_counts(docs: DataFrame, carry: list[str], text: str = "text") -> DataFr
             got = _count_texts(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(got[k]) for k in _COUNTS)], [*carry, *_COUNTS])
 
-    return docs.select(*carry, F.col(text).alias("__text")).mapInArrow(count, schema)
+    return map_arrow(docs.select(*carry, F.col(text).alias("__text")), count, schema)
 
 
 def _with_ratios(counted: DataFrame) -> DataFrame:
@@ -170,3 +170,31 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def _op5_sql() -> str:
+    """The query in SQL; cut-offs by exact quantiles, which the sketches give for up to ``SKETCH_K`` rows a group."""
+    cut = lambda r: f"greatest(q3.{r} + {RATIOS[r][0]} * (q3.{r} - q1.{r}), {RATIOS[r][1]})"
+    quartile = lambda q: "{" + ", ".join(f"{r}: quantile_disc({r}, {q})" for r in RATIOS) + "}"
+    level = lambda n, by: f"SELECT {n} AS level, {by}, count(*) AS n, {quartile(0.25)} AS q1, {quartile(0.75)} AS q3 FROM good GROUP BY ALL"
+    kept = " AND ".join(f"m.{r} <= coalesce(a.{r}, b.{r}, c.{r}, {RATIOS[r][1]})" for r in RATIOS)
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+windows AS (SELECT row, unnest(range(len(ws) - 7)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda k: array_to_string(ws[k : k + 7], ' '))) AS w FROM texts WHERE len(ws) > 8),
+repeated AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY row, w) > 1),
+covered AS (SELECT row, count(DISTINCT k) AS n FROM (SELECT row, unnest(range(i, i + 8)) AS k FROM repeated) GROUP BY row),
+lines AS (SELECT row, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM texts),
+counted AS (SELECT doc_id, lang, source, len(ws) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(list_filter(range(1, len(ws)), lambda k: ws[k] = ws[k + 1])) AS n_same_next FROM texts JOIN lines USING (row) LEFT JOIN covered c USING (row)),
+measured AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbols_per_word, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share,
+  coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_share, coalesce(n_same_next / nullif(n_words, 0), 0) AS same_next_share, coalesce(word_chars / nullif(n_words, 0), 0) AS chars_per_word FROM counted),
+good AS (SELECT * FROM measured WHERE NOT base_failed),
+levels AS ({level(0, "lang, source")} UNION ALL {level(1, "lang, NULL AS source")} UNION ALL {level(2, "NULL AS lang, NULL AS source")}),
+cuts AS (SELECT level, lang, source, {", ".join(f"{cut(r)} AS {r}" for r in RATIOS)} FROM levels WHERE n >= {GROUP_ROWS} OR level = 2)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {kept} AS kept
+FROM measured m LEFT JOIN cuts a ON a.level = 0 AND a.lang IS NOT DISTINCT FROM m.lang AND a.source IS NOT DISTINCT FROM m.source
+LEFT JOIN cuts b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM m.lang LEFT JOIN cuts c ON c.level = 2
+"""
+
+
+OP5_SQL = _op5_sql()

@@ -19,4 +19,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_near_dedup": near_dedup.OP1_SQL,
+    "op2_chat": chat.OP2_SQL,
+    "op5_quality": quality.OP5_SQL,
 }

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, table
+from .common import batches_of, map_arrow, table
 
 MARK = "▁"
 CACHE_WORDS = 250_000
@@ -204,7 +204,6 @@ class PieceCodec:
 
 @functools.lru_cache(maxsize=2)
 def _codec(data: bytes) -> PieceCodec:
-    os.environ["TOKENIZERS_PARALLELISM"] = "true"
     os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     return PieceCodec(data)
 
@@ -214,13 +213,14 @@ def encode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     carry = [c for c in docs.columns if c != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
         codec = _codec(model)
         for batch in batches_of(batches, 64):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             ids = [x if t is not None else None for x, t in zip(codec.encode([t or "" for t in texts]), texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], [*carry, "ids"])
 
-    return docs.select(*carry, F.col(text).alias("__text")).mapInArrow(run, docs.select(*carry).schema.add("ids", "binary"))
+    return map_arrow(docs.select(*carry, F.col(text).alias("__text")), run, docs.select(*carry).schema.add("ids", "binary"))
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
@@ -234,7 +234,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
             texts = [x if i is not None else None for x, i in zip(codec.decode([i or b"" for i in ids]), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*carry, "decoded"])
 
-    return encoded.select(*carry, F.col("ids").alias("__ids")).mapInArrow(run, encoded.select(*carry).schema.add("decoded", "string"))
+    return map_arrow(encoded.select(*carry, F.col("ids").alias("__ids")), run, encoded.select(*carry).schema.add("decoded", "string"))
 
 
 def parity(texts: list[str], path: str) -> list[int]:

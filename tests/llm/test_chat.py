@@ -38,7 +38,7 @@ def test_against_plain_python(spark, tmp_path):
     assert set(got) == set(convs)
     for c, turns in convs.items():
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == expected(turns)
-    assert got[-7].valid and got[None].valid and got[-7].formatted_chars > 60
+    assert got[-7].formatted_chars > 60
 
 
 def test_turn_order(spark):
