@@ -31,13 +31,24 @@ class Index:
         return self.occurrences.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
     def save(self, path: str, mode: str = "error") -> None:
-        """Tables that are looked up by term are ranged and sorted by it, so that a term's filter reads few row groups."""
-        for f in fields(self):
-            table: DataFrame = getattr(self, f.name)
+        """Tables are written one after another, each from those already written, so that texts are read twice in all.
+        Those that are looked up by term are ranged and sorted by it, so that a term's filter reads few row groups."""
+        spark = self.documents.sparkSession
+
+        def write(name: str, table: DataFrame) -> DataFrame:
             key = next((k for k in ("term", "surface") if k in table.columns), None)
             if key:
                 table = table.repartitionByRange(key).sortWithinPartitions(key)
-            table.write.mode(mode).parquet(f"{path}/{f.name}")
+            table.write.mode(mode).parquet(f"{path}/{name}")
+            return spark.read.parquet(f"{path}/{name}")
+
+        documents = write("documents", self.documents)
+        found = write("occurrences", self.occurrences)
+        doc_terms = write("doc_terms", _derive(documents, found).doc_terms)
+        doc_stats = write("doc_stats", _derive(documents, found, doc_terms).doc_stats)
+        rest = _derive(documents, found, doc_terms, doc_stats)
+        for name in ("vocab", "surfaces", "stats"):
+            write(name, getattr(rest, name))
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
@@ -66,10 +77,17 @@ def build_index(docs: DataFrame, index_title: bool = False) -> Index:
     docs = with_columns(docs)
     body = docs.withColumn("text", F.concat_ws(" ", "text", "title")) if index_title else docs
     found = occurrences(body)
+    return _derive(docs, found)
+
+
+def _derive(docs: DataFrame, found: DataFrame, doc_terms: DataFrame | None = None, doc_stats: DataFrame | None = None) -> Index:
+    """All tables from documents and occurrences; those given are used as they are."""
     terms = found.where(~F.col("is_stop"))
-    doc_terms = terms.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"))
-    lengths = doc_terms.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
-    doc_stats = docs.select("doc_id").join(lengths, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
+    if doc_terms is None:
+        doc_terms = terms.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"))
+    if doc_stats is None:
+        lengths = doc_terms.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
+        doc_stats = docs.select("doc_id").join(lengths, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
     hashed = docs.agg(F.format_string("w2-%d-%016x", F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("doc_id", "text")), F.lit(0))).alias("version"))
     stats = doc_stats.agg(F.count("*").alias("total_docs"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_doc_length")).crossJoin(hashed)  # a row each
     return Index(
