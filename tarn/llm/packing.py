@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import heapq
 import itertools
+import os
 import re
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, table
+from .common import batches_of, map_arrow, table
 
 CAPACITY = 4096
 #: A longer remainder is cut, so that a window holds several pieces and sums can be balanced.
@@ -177,6 +178,7 @@ def pack_documents(
     tail = np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core; idle threads of the library would only spin
         encoder = _encoder(tokenizer_path)
         base, sequences = TaskContext.get().partitionId() << 32, itertools.count()
         done, waiting, tokens = [], [], 0  # rows for the result; pieces not packed yet
@@ -222,7 +224,7 @@ def pack_documents(
             close()
             yield rows()
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("__text")).mapInArrow(pack, schema)
+    return map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("__text")), pack, schema)
 
 
 def pieces_digest(pieces: DataFrame) -> DataFrame:
