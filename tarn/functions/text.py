@@ -74,6 +74,11 @@ def process_text(text: Column) -> Column:
     return F.transform(F.filter(index_tokens(text), lambda w: ~is_stopword(w)), lemma)
 
 
+def index_length(text: Column) -> Column:
+    """Number of words that are no stop words."""
+    return F.size(F.filter(index_tokens(text), lambda w: ~w.isin(INDEX_STOPWORDS)))
+
+
 def words_of(text: str) -> list[str]:
     """``index_tokens`` on the driver."""
     return [w.lower() for w in re.findall(r"[A-Za-z0-9_*]+", text)]

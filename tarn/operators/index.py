@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from tarn.functions import text as T
 
 
+#: An input of fewer bytes is dealt out before it is analysed.
+SMALL_BYTES = 256 << 20
+
+
 @dataclass(frozen=True)
 class Index:
     documents: DataFrame  # doc_id, title, url, text
@@ -64,20 +68,29 @@ def with_columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), has("title").alias("title"), has("url").alias("url"), text.alias("text"))
 
 
+def spread(docs: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """A small input, which may lie in a single row group, over all cores; a larger one as its files are split."""
+    if not hasattr(docs, "_jdf"):
+        return docs
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size <= most else docs
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """One row per word; places within a document come from the row itself, without a shuffle."""
-    items = docs.select("doc_id", F.posexplode(T.index_items(F.col("text"))).alias("pos", "item")).where(F.col("item").rlike("^[A-Za-z0-9_*]"))
+    items = docs.select("doc_id", F.posexplode(T.index_items(F.col("text"))).alias("pos", "item")).where(~F.substring("item", -1, 1).isin(".", "!", "?"))
     words = items.select("doc_id", "pos", F.lower("item").alias("surface"))
     stop = T.is_stopword(F.col("surface"))
-    return words.select("doc_id", "pos", "surface", F.when(stop, F.col("surface")).otherwise(T.lemma(F.col("surface"))).alias("term"), stop.alias("is_stop"))
+    return words.select("doc_id", "pos", "surface", F.when(stop, F.col("surface")).otherwise(T.lemma_once(F.col("surface"))).alias("term"), stop.alias("is_stop"))
 
 
 def build_index(docs: DataFrame, index_title: bool = False) -> Index:
     """An index of docs (doc_id, text, and title, url, tokens where there are such), one row per doc_id."""
-    docs = with_columns(docs)
+    docs = spread(with_columns(docs))
     body = docs.withColumn("text", F.concat_ws(" ", "text", "title")) if index_title else docs
     found = occurrences(body)
-    return _derive(docs, found)
+    lengths = body.select("doc_id", T.index_length(F.col("text")).cast("long").alias("doc_len"))  # a row's own, without a shuffle
+    return _derive(docs, found, doc_stats=lengths)
 
 
 def _derive(docs: DataFrame, found: DataFrame, doc_terms: DataFrame | None = None, doc_stats: DataFrame | None = None) -> Index:

@@ -42,11 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return X.spread(table(spark, sf_dir, "documents"))
 
 
 def index(spark: SparkSession, sf_dir: str) -> X.Index:
-    return X.build_index(documents(spark, sf_dir).select("doc_id", "text"))
+    return X.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def registered(sql: str | None = None, name: str | None = None):
