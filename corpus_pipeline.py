@@ -31,8 +31,8 @@ def _ids_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return _ids_of(docs, quality.quality_verdicts(docs).where("kept"))
+    """Documents that the quality rules keep, with adaptive cut-offs."""
+    return _ids_of(docs, quality.quality_verdicts(docs, adaptive=True).where("kept"))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

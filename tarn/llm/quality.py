@@ -7,6 +7,10 @@ with a third of all rows is summed up where its rows lie. The cut-offs are the s
 quartile plus a multiple of the interquartile range (outliers, not a fixed share), no
 lower than a floor per ratio; groups with few rows take the cut-offs of their language and those the
 overall ones. The joined cut-offs then filter the documents.
+
+That is the rule of ``op5_quality`` and its SQL, whose floors decide nearly everything on ordinary data. The adaptive
+rule, which the pipeline uses, has no floors: a margin is added to the sketches' value, and a group's cut-off
+is bounded by those of its language and, but for ``OF_LANGUAGE``, of all documents.
 """
 
 from __future__ import annotations
@@ -36,6 +40,10 @@ RATIOS = {
     "same_next_share": (3.0, 0.30),
     "chars_per_word": (4.0, 12.0),
 }
+#: Adaptive rule: added to the upper quartile and its multiple of the interquartile range, which are often both 0.
+MARGINS = {"symbols_per_word": 0.10, "dup_line_share": 0.35, "repeat_share": 0.25, "same_next_share": 0.10, "chars_per_word": 1.0}
+#: Ratios that differ by language: a language's cut-off isn't bounded by the overall one.
+OF_LANGUAGE = ("chars_per_word",)
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_same_next")
 
 _IS_SYMBOL = np.zeros(256, bool)
@@ -114,7 +122,7 @@ def _with_ratios(counted: DataFrame) -> DataFrame:
     )
 
 
-def cut_offs(measured: DataFrame) -> DataFrame:
+def cut_offs(measured: DataFrame, adaptive: bool = False) -> DataFrame:
     """A row for each language and source, each language (source null, level 1) and all (level 2): ``n`` and a cut-off per ratio.
 
     The coarser sketches are merged from the finer ones, not computed again from the rows.
@@ -128,22 +136,23 @@ def cut_offs(measured: DataFrame) -> DataFrame:
     def cut(ratio: str):
         times, floor = RATIOS[ratio]
         q = lambda x: F.kll_sketch_get_quantile_double(ratio, F.lit(x))
-        return F.greatest(q(0.75) + times * (q(0.75) - q(0.25)), F.lit(floor)).alias(f"cut_{ratio}")
+        spread = q(0.75) + times * (q(0.75) - q(0.25))
+        return (spread + MARGINS[ratio] if adaptive else F.greatest(spread, F.lit(floor))).alias(f"cut_{ratio}")
 
     return fine.unionByName(by_lang).unionByName(overall).where("n > 0").select("level", "lang", "source", "n", *(cut(r) for r in RATIOS))
 
 
-def quality_verdicts(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def quality_verdicts(docs: DataFrame, group_rows: int = GROUP_ROWS, adaptive: bool = False) -> DataFrame:
     """doc_id, lang, source, the counts and ratios, ``base_failed`` and ``kept`` of every document.
 
     A null text counts as empty and so fails the base rules. Null languages and sources are groups of their own.
     Repeated rows count as often as they occur and each gets its verdict. Extra columns are ignored; an empty table
     gives an empty one. The sketches' cut-offs are written to the shared folder before they are used, so all
-    verdicts rest on the same ones even if tasks are run again.
+    verdicts rest on the same ones even if tasks are run again. ``adaptive`` takes margins and bounds instead of floors.
     """
     measured = _with_ratios(text_counts(docs.select("doc_id", "text", "lang", "source"), ["doc_id", "lang", "source"]))
     measured = materialise(measured, "quality-counts")
-    cuts = materialise(cut_offs(measured).coalesce(1), "quality-cuts")
+    cuts = materialise(cut_offs(measured, adaptive).coalesce(1), "quality-cuts")
     names = [f"cut_{r}" for r in RATIOS]
 
     def level(n: int) -> DataFrame:
@@ -159,7 +168,15 @@ def quality_verdicts(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame
     )
     overall = level(2).select(*(F.col(f"{c}_2") for c in names))
     joined = joined.join(F.broadcast(overall), F.lit(True), "left")  # a single row
-    within = [F.col(r) <= F.coalesce(f"cut_{r}_0", f"cut_{r}_1", f"cut_{r}_2", F.lit(RATIOS[r][1])) for r in RATIOS]
+
+    def limit(r: str):
+        own, of_lang, of_all = (F.col(f"cut_{r}_{n}") for n in range(3))
+        if not adaptive:
+            return F.coalesce(own, of_lang, of_all, F.lit(RATIOS[r][1]))
+        bound = F.least(own, of_lang)  # skips nulls
+        return F.coalesce(bound, of_all) if r in OF_LANGUAGE else F.least(bound, of_all)
+
+    within = [F.col(r) <= limit(r) for r in RATIOS]
     passed = within[0]
     for w in within[1:]:
         passed = passed & w

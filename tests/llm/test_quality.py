@@ -63,3 +63,30 @@ def test_empty_table_and_query(spark, tmp_path):
     spark.createDataFrame([(1, None, None, None), (1, None, None, None), (2, "a b", "en", "x")], schema).write.parquet(f"{tmp_path}/documents.parquet")
     got = quality.op5_quality(spark, str(tmp_path)).collect()
     assert len(got) == 3 and not any(r.kept for r in got) and all(r.base_failed for r in got)
+
+
+def skewed():
+    """A clean source, one with 40 % junk, one document with some symbols; symbol-free words otherwise."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9)))
+    rows = [(i, " ".join(word() for _ in range(60)), "en", "clean") for i in range(600)]
+    rows += [(1000 + i, " ".join(word() + "***" * (i % 5 < 2) for _ in range(60)), "en", "junk") for i in range(150)]
+    return rows + [(2000, " ".join(word() + "#" * (i % 5 == 0) for i in range(60)), "en", "clean")]
+
+
+def test_adaptive_cut_offs_decide_and_are_bounded(spark):
+    import corpus_pipeline as cp
+
+    rows = skewed()
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in quality.quality_verdicts(docs, adaptive=True).where("kept").collect()}
+    assert kept == {r[0] for r in rows if "*" not in r[1] and "#" not in r[1]}
+    assert {r.doc_id for r in cp.by_quality(spark, docs, "").collect()} == kept
+
+
+def test_adaptive_words_of_a_language_stay_its_own(spark):
+    rnd = random.Random(2)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(n + rnd.randrange(-1, 2))) for _ in range(60))
+    rows = [(i, text(4), "en", "x") for i in range(500)] + [(500 + i, text(14), "fi", "x") for i in range(110)] + [(900, text(30), "fi", "x"), (901, text(14), "en", "x")]
+    got = quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), adaptive=True).where("not kept").collect()
+    assert {r.doc_id for r in got} == {900, 901}
