@@ -297,13 +297,19 @@ top AS (SELECT query_id, CAST(rank AS INT) AS rank, doc_id, score FROM best WHER
 """.replace("LEMMA", lemma_sql("w")).replace("STOP", _quoted(INDEX_STOPWORDS))
 
 
-def _asked(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
+#: The same over whole benchmark texts.
+_ASKED_WHOLE = _ASKED.replace("array_to_string(string_split(text, ' ')[1:6], ' ')", "text")
 
 
-def _batch(spark, sf_dir, mode="bm25"):
+def _asked(spark, sf_dir, whole=False):
+    """The benchmark's texts as queries: whole, or the first six words that the SQL of the older queries asks."""
+    text = F.col("text") if whole else F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"))
+
+
+def _batch(spark, sf_dir, mode="bm25", whole=False):
     x = index(spark, sf_dir)
-    terms = R.batch_terms(x, _asked(spark, sf_dir))
+    terms = R.batch_terms(x, _asked(spark, sf_dir, whole))
     found = x.doc_terms.join(terms.select("query_id", "term"), "term").select("query_id", "doc_id").distinct()
     return R.top_k_per_query(R.score(x, found, terms, mode).withColumn("score", F.round("score", 6)), 10)
 
@@ -318,6 +324,16 @@ def batch_tfidf_topk(spark, sf_dir):
     return _batch(spark, sf_dir, "tfidf")
 
 
+@registered(_ASKED_WHOLE.replace("VALUE", _BM25) + "SELECT * FROM top")
+def batch_bm25_topk_whole(spark, sf_dir):
+    return _batch(spark, sf_dir, whole=True)
+
+
+@registered(_ASKED_WHOLE.replace("VALUE", "tf * greatest(0, log10(total / df))") + "SELECT * FROM top")
+def batch_tfidf_topk_whole(spark, sf_dir):
+    return _batch(spark, sf_dir, "tfidf", whole=True)
+
+
 @registered()
 def mmr_rerank_pool(spark, sf_dir):
     x = index(spark, sf_dir)
@@ -393,8 +409,8 @@ def personalised_bm25(spark, sf_dir):
 _JUDGED = ", relevant AS (SELECT DISTINCT a.query_id, l.doc_id FROM asked a JOIN labels l ON l.quality = 1 AND l.doc_id % 40 = a.query_id % 40), sizes AS (SELECT query_id, count(*) AS n FROM relevant GROUP BY query_id)"
 
 
-def _metrics_sql(value: str) -> str:
-    return _ASKED.replace("VALUE", value) + _JUDGED + """, marked AS (SELECT t.query_id, t.rank, (r.doc_id IS NOT NULL)::INT AS hit FROM top t LEFT JOIN relevant r USING (query_id, doc_id)),
+def _metrics_sql(value: str, asked: str = _ASKED) -> str:
+    return asked.replace("VALUE", value) + _JUDGED + """, marked AS (SELECT t.query_id, t.rank, (r.doc_id IS NOT NULL)::INT AS hit FROM top t LEFT JOIN relevant r USING (query_id, doc_id)),
 running AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) / rank AS p FROM marked),
 sums_of AS (SELECT query_id, sum(hit) FILTER (rank <= 5) AS h5, sum(hit) AS h10, min(rank) FILTER (hit = 1) AS first, sum(hit * p) AS ps FROM running GROUP BY query_id),
 report AS (SELECT a.query_id, coalesce(CASE WHEN n > 0 THEN h5 / 5.0 END, 0.0) AS precision_at_5, coalesce(CASE WHEN n > 0 THEN h10 / 10.0 END, 0.0) AS precision_at_10, coalesce(h5 / n, 0.0) AS recall_at_5, coalesce(h10 / n, 0.0) AS recall_at_10,
@@ -402,11 +418,11 @@ report AS (SELECT a.query_id, coalesce(CASE WHEN n > 0 THEN h5 / 5.0 END, 0.0) A
 """
 
 
-def _report(spark, sf_dir, mode="bm25"):
-    asked = _asked(spark, sf_dir)
+def _report(spark, sf_dir, mode="bm25", whole=False):
+    asked = _asked(spark, sf_dir, whole)
     judged = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", (F.col("doc_id") % 40).alias("k"))
     relevant = asked.select("query_id", (F.col("query_id") % 40).alias("k")).join(judged, "k").select("query_id", "doc_id")
-    return E.evaluate(_batch(spark, sf_dir, mode), relevant, asked)
+    return E.evaluate(_batch(spark, sf_dir, mode, whole), relevant, asked)
 
 
 def _rounded(df, *keep):
@@ -426,17 +442,32 @@ def rr_ap_per_query(spark, sf_dir):
     return _rounded(_report(spark, sf_dir).select("query_id", "reciprocal_rank", "average_precision"), "query_id")
 
 
-def _means(mode: str, value: str) -> str:
+@registered(_metrics_sql(_BM25, _ASKED_WHOLE) + "SELECT query_id, " + _R6("precision_at_5", "precision_at_10", "recall_at_5", "recall_at_10") + " FROM report")
+def precision_recall_at_k_whole(spark, sf_dir):
+    return _rounded(_report(spark, sf_dir, whole=True).drop("reciprocal_rank", "average_precision"), "query_id")
+
+
+@registered(_metrics_sql(_BM25, _ASKED_WHOLE) + "SELECT query_id, " + _R6("reciprocal_rank", "average_precision") + " FROM report")
+def rr_ap_per_query_whole(spark, sf_dir):
+    return _rounded(_report(spark, sf_dir, whole=True).select("query_id", "reciprocal_rank", "average_precision"), "query_id")
+
+
+def _means(mode: str, value: str, asked: str = _ASKED) -> str:
     cols = ", ".join(f"round(CAST(avg({c}) AS DOUBLE), 6) AS {n}" for c, n in (("precision_at_5",) * 2, ("precision_at_10",) * 2, ("recall_at_5",) * 2, ("recall_at_10",) * 2, ("reciprocal_rank",) * 2, ("average_precision",) * 2, ("reciprocal_rank", "mrr"), ("average_precision", "map")))
-    return f"SELECT * FROM ({PRELUDE + _metrics_sql(value)} SELECT '{mode}' AS mode, {cols} FROM report)"
+    return f"SELECT * FROM ({PRELUDE + _metrics_sql(value, asked)} SELECT '{mode}' AS mode, {cols} FROM report)"
 
 
 @registered("WITH both_modes AS (" + _means("bm25", _BM25) + " UNION ALL " + _means("tfidf", "tf * greatest(0, log10(total / df))") + ") SELECT * FROM both_modes")
-def metrics_by_mode(spark, sf_dir):
-    reports = [_report(spark, sf_dir, m).withColumn("mode", F.lit(m)) for m in ("bm25", "tfidf")]
+def metrics_by_mode(spark, sf_dir, whole=False):
+    reports = [_report(spark, sf_dir, m, whole).withColumn("mode", F.lit(m)) for m in ("bm25", "tfidf")]
     return _rounded(E.aggregate_metrics(reports[0].unionByName(reports[1]), "mode"), "mode")
 
 
+@registered("WITH both_modes AS (" + _means("bm25", _BM25, _ASKED_WHOLE) + " UNION ALL " + _means("tfidf", "tf * greatest(0, log10(total / df))", _ASKED_WHOLE) + ") SELECT * FROM both_modes")
+def metrics_by_mode_whole(spark, sf_dir):
+    return metrics_by_mode(spark, sf_dir, whole=True)
+
+
 # --- pages, links, records -------------------------------------------------------------------------------------------
 
 _URL = r"""WITH parts AS (SELECT page_id, url, regexp_extract(trim(url), '^([^:/?#]+)://([^/?#]*)([^?#]*)(\?[^#]*)?', ['scheme', 'host', 'path', 'query']) AS p FROM pages),
