@@ -1,8 +1,8 @@
 """Personal data by patterns, extended by bootstrapped contextual extraction.
 
 Seeds are the spans of the base patterns (e-mail, IP, card, phone). Each mention in the corpus, a seed or any other
-token with a digit or an at sign, stands after a context: the word to its left. Contexts and values form
-a bipartite graph. Round by round a context's score for a kind is the confidence of its distinct values in that kind over their
+token with a digit or an at sign, stands between two contexts: the nearest words to its left and right, with the punctuation
+in between where it stands alone (``email =``). Contexts and values form a bipartite graph. Round by round a context's score for a kind is the confidence of its distinct values in that kind over their
 number; contexts with enough distinct values behind a high score are patterns, and a value's confidence is that
 of the patterns that it follows, taken together. Values of high confidence are unseen identifiers: their mentions
 are added to the base spans.
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .spans import last_word, spans
+from .spans import left_context, right_context, spans
 
 #: In the order of the digest.
 KINDS = ("email", "ip", "card", "phone")
@@ -42,8 +42,8 @@ CONFIDENT = 0.9
 
 
 def _spans(text: Column, pattern: str, hint: str) -> Column:
-    """Matches as array<struct<start,end,value,left>>; left is the word before."""
-    return F.transform(spans(text, pattern, hint), lambda s: F.struct(s["start"], s["end"], s["value"], last_word(s["before"]).alias("left")))
+    """Matches as array<struct<start,end,value,left,right>>; left and right are the contexts."""
+    return F.transform(spans(text, pattern, hint), lambda s: F.struct(s["start"], s["end"], s["value"], left_context(s["before"]).alias("left"), right_context(s["after"]).alias("right")))
 
 
 def _holds(kind: str, value: Column) -> Column:
@@ -66,7 +66,7 @@ def _holding(kind: str):
 
 
 def _as_mention(kind: str):
-    return lambda s: F.struct(F.lit(kind).alias("kind"), s["value"].alias("value"), s["left"].alias("context"))
+    return lambda s: F.struct(F.lit(kind).alias("kind"), s["value"].alias("value"), s["left"].alias("left"), s["right"].alias("right"))
 
 
 def find_mentions(docs: DataFrame) -> DataFrame:
@@ -89,8 +89,10 @@ def find_mentions(docs: DataFrame) -> DataFrame:
 def discover(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(value, kind, confidence) of identifiers that are no seeds, by scoring the graph of contexts and values."""
     seeds = mentions.select(F.explode(F.concat(*(F.transform(k, _as_mention(k)) for k in KINDS))).alias("m")).select("m.*")
-    others = mentions.select(F.explode("tokens").alias("m")).select(F.lit(None).cast("string").alias("kind"), F.col("m.value").alias("value"), F.col("m.left").alias("context"))
-    edges = materialise(seeds.unionByName(others).where("context <> ''").distinct(), "pii-edges")
+    others = mentions.select(F.explode("tokens").alias("m")).select(F.lit(None).cast("string").alias("kind"), F.col("m.value").alias("value"), F.col("m.left").alias("left"), F.col("m.right").alias("right"))
+    sides = F.array(F.concat(F.lit("< "), "left"), F.concat(F.lit("> "), "right"))  # null where there is none
+    edges = seeds.unionByName(others).select("kind", "value", F.explode(sides).alias("context"))
+    edges = materialise(edges.where("context is not null").distinct(), "pii-edges")
     sizes = edges.groupBy("context").agg(F.count_distinct("value").alias("n"))
     graph = edges.select("context", "value").distinct()
     known = edges.where("kind is not null").select("value", "kind").distinct().withColumn("confidence", F.lit(1.0))

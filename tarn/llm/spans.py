@@ -36,7 +36,29 @@ def spans(text: Column, pattern: str, hint: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(hint)), F.flatten(F.transform(done, lambda x: x["out"]))).otherwise(none)
 
 
-def last_word(before: Column) -> Column:
-    """The word that ends the context before a match, lower-cased, without punctuation around it."""
-    word = F.substring_index(F.rtrim(F.translate(before, "\n\t\r\f\u000b", "     ")), " ", -1)
-    return F.btrim(F.lower(word), F.lit(".,;:!?()[]{}\"'=<>|*#$%&"))
+_PUNCTUATION = ".,;:!?()[]{}\"'=<>|*#$%&"
+
+
+def _flat(text: Column) -> Column:
+    return F.translate(text, "\n\t\r\f\u000b", "     ")
+
+
+def _context(flat: Column, rest: Column, punctuation: Column, side: int) -> Column:
+    """The word next to a match; one that is punctuation only is kept beside the nearest real word. Null if there is nothing."""
+    word = lambda c: F.btrim(F.lower(F.substring_index(c, " ", side)), F.lit(_PUNCTUATION))
+    near = F.nullif(word(rest), F.lit(""))
+    return F.when(word(flat) != "", word(flat)).when(flat != "", F.concat_ws(" ", near, F.replace(punctuation, F.lit(" "), F.lit(""))))
+
+
+def left_context(before: Column) -> Column:
+    """The word that ends the context before a match, lower-cased, without punctuation around it, or as in ``email =``."""
+    flat = F.rtrim(_flat(before))
+    rest = F.rtrim(flat, F.lit(_PUNCTUATION + " "))
+    return _context(flat, rest, F.substring(flat, F.length(rest) + 1, F.length(flat)), -1)
+
+
+def right_context(after: Column) -> Column:
+    """The same of the context after a match; marks that end a sentence or were trimmed from a token don't count."""
+    flat = F.ltrim(_flat(F.ltrim(after, F.lit("._%+/:#-,;!?"))))
+    rest = F.ltrim(flat, F.lit(_PUNCTUATION + " "))
+    return _context(flat, rest, F.substring(flat, F.lit(1), F.length(flat) - F.length(rest)), 1)

@@ -71,3 +71,21 @@ def test_few_seeds_make_no_pattern(spark):
 
 def test_empty_table(spark):
     assert pii.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_assignments_quotes_tables_and_right_words_induce_patterns(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=9))
+    rows = []
+    for i in range(60):
+        rows.append((i, f"email = user{rnd.randrange(9999)}@host{i}.org"))
+        rows.append((100 + i, f'{{"mail": "m{rnd.randrange(9999)}@h{i}.org"}}'))
+        rows.append((200 + i, f"phone | +1 499 555 {1000 + i}"))
+        rows.append((300 + i, f"{word()} n{rnd.randrange(9999)}@h{i}.org writes"))
+        rows.append((400 + i, f"count = {rnd.randrange(10**6, 10**7)} pieces"))
+    unseen = {900: ("email", "user4455@intranet", "email = {}"), 901: ("email", "m7788@lan", '{{"mail": "{}"}}'), 902: ("phone", "4995551234", "phone | {}"), 903: ("email", "n9911@lan", "zebra {} writes")}
+    rows += [(d, form.format(value)) for d, (_, value, form) in unseen.items()]
+    text = dict(rows)
+    for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        want = {unseen[r.doc_id][:2]} if r.doc_id in unseen else set()
+        assert {(s.kind, text[r.doc_id][s.start : s.end]) for s in r.added} == want, text[r.doc_id]
