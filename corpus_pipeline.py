@@ -31,8 +31,15 @@ def _ids_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, with adaptive cut-offs."""
-    return _ids_of(docs, quality.quality_verdicts(docs, adaptive=True).where("kept"))
+    """Rows that the quality rules keep, with adaptive cut-offs.
+
+    A verdict rests on text, language and source, so it is joined back by those beside the id: rows of one id, or without one, have their own.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
+    verdicts = quality.quality_verdicts(docs.withColumn("doc_id", F.struct("doc_id", key)), adaptive=True).where("kept")
+    kept = verdicts.select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.key").alias("__key"), F.col("lang").alias("__lang"), F.col("source").alias("__source")).distinct()
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in (("doc_id", "__id"), ("lang", "__lang"), ("source", "__source"))]
+    return docs.select(*COLUMNS).join(kept, [*same, key == F.col("__key")], "left_semi")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,11 @@ def test_run_and_empty(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() > 30
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert cp.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_quality_stage_judges_rows_of_one_id_each_and_without_id(spark):
+    rows = [r for r in corpus() if r[0] < 240 and r[0] % 20 != 4]
+    good, junk = rows[0][1], " ".join(w + "***" for w in rows[0][1].split())
+    rows += [(i, t, "en", "src0", len(t)) for i in (5000, None) for t in (good, junk, "short text")]
+    left = cp.by_quality(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert [r.text for r in left if r.doc_id in (5000, None)] == [good, good]
