@@ -2,12 +2,13 @@
 
 A word is a maximal run of bytes other than x20 and x09-x0D, which in UTF-8 is the
 same as a run of code points other than those. All hashes are fixed functions of the
-bytes, so executors agree on them.
+bytes, so executors agree on them. A word's hash takes its bytes eight at a time through a bijective mixer, so that
+no family of words collides by construction, as families do under polynomials modulo 2**64.
 """
 
 from __future__ import annotations
 
-import functools
+import hashlib
 
 import numpy as np
 
@@ -15,8 +16,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes that are cut into words at once.
+PIECE_BYTES = 1 << 19
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: Masks of the lowest 0 to 8 bytes of a lane.
+_LANE = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,39 +35,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(log2: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << log2
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def _word_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the words at these places: chained over lanes of eight bytes, from the length."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))  # eight bytes from every place on
+    out = mix(length.astype(np.uint64) * _SEED + np.uint64(1))
+    rest, at, short = length.copy(), start.copy(), np.flatnonzero(length <= LONG_WORD)
+    while len(short):
+        value = lanes[at[short]] & _LANE[np.minimum(rest[short], 8)]
+        out[short] = mix(mix(out[short] ^ value) + _SEED)
+        at[short] += 8
+        rest[short] -= 8
+        short = short[rest[short] > 0]
+    for k in np.flatnonzero(length > LONG_WORD):
+        digest = hashlib.blake2b(data[start[k] : start[k] + length[k]].data, digest_size=8).digest()
+        out[k] = np.frombuffer(digest, "<u8")[0]
+    return out
+
+
+def _piece_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of a piece; none reaches across a cut."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[data]
+    step = np.diff(inside)
+    start, end = step[:-1] == 1, step[1:] == -1
+    joined = cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)]
+    start[joined], end[joined - 1] = True, True
+    start = np.flatnonzero(start)
+    return start, _word_hashes(data, start, np.flatnonzero(end) + 1 - start)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts, in order, and the n + 1 offsets of each text's words."""
+    """64-bit hashes of all words of the texts, in order, and the n + 1 offsets of each text's words.
+
+    Texts are gone through in pieces that end at white space (or where one does after a longer word), so memory beyond
+    the result, 16 bytes a word, doesn't grow with a text.
+    """
     offsets = offsets - offsets[0]
-    n = len(data)
-    if not n:
+    n, begin, starts, hashes = len(data), 0, [], []
+    while begin < n:
+        stop = min(n, begin + PIECE_BYTES)
+        if stop < n:
+            space = np.flatnonzero(_SPACE[data[begin:stop]])
+            if len(space):
+                stop = begin + int(space[-1]) + 1
+            else:  # a word longer than a piece
+                while stop < n and not (space := np.flatnonzero(_SPACE[data[stop : stop + PIECE_BYTES]])).size:
+                    stop = min(n, stop + PIECE_BYTES)
+                stop = stop + int(space[0]) + 1 if stop < n else n
+        a, b = np.searchsorted(offsets, (begin + 1, stop), "left")
+        piece = data[begin:stop]
+        at, found = _piece_words(_LOWER[piece] if lower else piece, offsets[a:b] - begin)
+        starts.append(at + begin)
+        hashes.append(found)
+        begin = stop
+    if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = np.zeros(n + 2, np.int8)
-    inside[1:-1] = ~_SPACE[data]
-    step = np.diff(inside)
-    start, end = step[:-1] == 1, step[1:] == -1
-    cuts = offsets[(offsets > 0) & (offsets < n)]
-    if len(cuts):  # a word does not reach from one text into the next
-        joined = cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)]
-        start[joined], end[joined - 1] = True, True
-    start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-    up, down = _powers(max(16, int(n).bit_length()))
-    value = (_LOWER[data] if lower else data).astype(np.uint64)
-    value += np.uint64(1)
-    value *= up[:n]
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(value, out=sums[1:])
-    found = (sums[end] - sums[start]) * down[start]
-    found ^= (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(found), np.searchsorted(start, offsets, "left").astype(np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets, "left").astype(np.int64)
 
 
 def shingles(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,11 +110,12 @@ def shingles(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray
     full = counts >= width
     take = np.repeat((at[:-1] - out_at[:-1])[full], sizes[full]) + np.flatnonzero(np.repeat(full, sizes))
     out[np.repeat(full, sizes)] = rolled[take]
-    for row in np.flatnonzero(~full & (counts > 0)):
-        whole = np.uint64(counts[row])
-        for h in hashes[at[row] : at[row + 1]]:
-            whole = mix(np.array([whole + np.uint64(0x51ED270B)], np.uint64) * np.uint64(_BASE) + h)[0]
-        out[out_at[row]] = whole
+    few = np.flatnonzero(~full & (counts > 0))  # chained from the count, a word at a time
+    whole = mix(counts[few].astype(np.uint64) * _SEED)
+    for k in range(width - 1):
+        more = counts[few] > k
+        whole[more] = mix((whole[more] + _SEED) ^ hashes[at[few[more]] + k])
+    out[out_at[few]] = whole
     return out, out_at
 
 

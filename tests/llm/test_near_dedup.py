@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from tarn.llm import near_dedup as nd
 from tarn.llm.graph import connected_components
+from tarn.llm import shingles
 from tarn.llm.shingles import MinHash
 
 SCHEMA = "doc_id long, text string, kept string, label string"
@@ -91,3 +92,39 @@ def test_odd_sketch_estimates_high_similarity():
             errors.append(nd.estimated_jaccard(flips, s.size, s.sketch_bits) - true)
             assert flips <= s.most_flips
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+
+
+def opposite_words(letters, size):
+    """A Thue-Morse word over two letters and its opposite: they collide under every polynomial modulo a power of two."""
+    a, b = letters
+    while len(a) < size:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("size", [8, 32, 64, 1024, 4096])
+def test_words_do_not_collide_by_construction(size):
+    pair = [w.encode() for w in opposite_words("ab", size)]
+    found, _ = shingles.words(np.frombuffer(b"".join(pair), np.uint8), np.array([0, size, 2 * size]))
+    assert len(set(found.tolist())) == 2
+
+
+def test_texts_with_such_words_are_not_linked(spark):
+    a, b = opposite_words("ab", 1024)
+    got = nd.near_duplicate_classes(spark.createDataFrame([(1, f"{a} x y"), (2, f"{b} x y")], "doc_id long, text string"), nd.NearDedup(width=3, percent=85)).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in got)
+
+
+@pytest.mark.parametrize("piece", [7, 40, 1 << 19])
+def test_words_of_texts_cut_into_pieces(monkeypatch, piece):
+    monkeypatch.setattr(shingles, "PIECE_BYTES", piece)
+    rnd = random.Random(piece)
+    texts = ["".join(rnd.choices(["a", "B", "é", " ", "\n", "中", "x" * 9, "y" * 70, "\x0b"], k=rnd.randrange(60))) for _ in range(400)]
+    raw = [t.encode() for t in texts]
+    found, at = shingles.words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    hash_of, word_of = {}, {}
+    for k, text in enumerate(texts):
+        want = re.findall(r"[^\x20\x09-\x0D]+", text)
+        assert at[k + 1] - at[k] == len(want)
+        for w, h in zip(want, found[at[k] : at[k + 1]].tolist(), strict=True):
+            assert hash_of.setdefault(w, h) == h and word_of.setdefault(h, w) == w
