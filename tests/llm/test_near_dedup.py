@@ -58,18 +58,30 @@ def test_classes_against_all_pairs(spark, width, percent, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_groups_over_several_blocks(spark):
+@pytest.mark.parametrize("hub_rounds", [0, 1, 3])
+def test_groups_over_several_parts_and_without_hubs(spark, hub_rounds):
     rows = corpus(7, groups=2, most=80)
-    settings = nd.NearDedup(width=3, percent=85, block_docs=9, block_shingles=900)
+    settings = nd.NearDedup(width=3, percent=85, part_nodes=5, part_shingles=900, hub_rounds=hub_rounds)
     got = nd.near_duplicate_classes(spark.createDataFrame(rows, SCHEMA), settings).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, 85)
 
 
+def test_a_chain_that_no_hub_covers(spark):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(100 - k, " ".join(words[4 * k : 4 * k + 60]), "x", None) for k in range(40)]  # each is linked with its neighbours only
+    got = nd.near_duplicate_classes(spark.createDataFrame(rows, SCHEMA), nd.NearDedup(width=3, percent=85, part_nodes=4)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, 85)
+
+
 def test_edges(spark):
     assert nd.near_duplicate_classes(spark.createDataFrame([], SCHEMA)).collect() == []
-    rows = [(None, "a b c d e f", None, None), (None, "a b c d e f", None, None), (4, "a b c d e f", None, None), (4, "a b c d e f", None, None), (2, "a b c d e f", None, None)]
-    got = sorted(((r.doc_id, r.component_id, r.kept) for r in nd.near_duplicate_classes(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
-    assert got == [(2, 2, True), (4, 2, False), (4, 2, False), (None, None, True), (None, None, True)]
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f"), (None, "alone by itself it stands here"), (None, None), (7, None), (7, "")]
+    rows += [(11, a), (11, b), (12, a + " tail"), (13, b + " tail"), (None, b + " end")]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in nd.near_duplicate_classes(spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA)).collect()), key=str)
+    want = [(2, 2, True), (4, 2, False), (4, 2, False), (7, 7, True), (7, 7, True), (11, 11, True), (11, 11, True), (12, 11, False), (13, 11, False)]
+    want += [(None, 2, False), (None, 2, False), (None, 11, False), (None, None, True), (None, None, True)]
+    assert got == sorted(want, key=str)
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -87,8 +99,8 @@ def test_odd_sketch_estimates_high_similarity():
             common = rnd.integers(0, 1 << 62, int(1000 * true), dtype=np.uint64)
             rest = (1000 - len(common)) // 2
             a, b = (np.concatenate([common, rnd.integers(0, 1 << 62, rest, dtype=np.uint64)]) for _ in range(2))
-            x, y = (np.frombuffer(nd.odd_sketch(minhash.of(v), s.sketch_bits), np.uint64) for v in (a, b))
-            flips = int(np.bitwise_count(x ^ y).sum())
+            x, y = (nd.odd_sketch(minhash.of(v), s.sketch_bits) for v in (a, b))
+            flips = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
             errors.append(nd.estimated_jaccard(flips, s.size, s.sketch_bits) - true)
             assert flips <= s.most_flips
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
