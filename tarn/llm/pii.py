@@ -1,11 +1,12 @@
 """Personal data by patterns, extended by bootstrapped contextual extraction.
 
 Seeds are the spans of the base patterns (e-mail, IP, card, phone). Each mention in the corpus, a seed or any other
-token with a digit or an at sign, stands between two contexts: the nearest words to its left and right, with the punctuation
-in between where it stands alone (``email =``). Contexts and values form a bipartite graph. Round by round a context's score for a kind is the confidence of its distinct values in that kind over their
-number; contexts with enough distinct values behind a high score are patterns, and a value's confidence is that
-of the patterns that it follows, taken together. Values of high confidence are unseen identifiers: their mentions
-are added to the base spans.
+token with a digit or an at sign, stands between contexts: the nearest one, two and three words to its left and to its right, with the punctuation
+in between where it stands alone (``email =``). Contexts and values form a bipartite graph. Round by round a context's score for a kind is the
+confidence of its distinct values in that kind over their number, where values of no kind count half (they may be unseen identifiers); contexts with enough distinct values behind a high score are patterns, and a
+value's confidence is that of its best pattern on each side, taken together (the contexts of one side contain one another, so
+only the best counts). Values of high confidence are unseen identifiers: their mentions are added to the base spans, and they are
+seeds of the next round.
 
 All of it is DataFrame functions; contexts and values are counted with partial aggregation, so a context as
 frequent as "the" costs no more than its rows.
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .spans import left_context, right_context, spans
+from .spans import left_contexts, right_contexts, spans
 
 #: In the order of the digest.
 KINDS = ("email", "ip", "card", "phone")
@@ -37,13 +38,15 @@ TOKEN = r"(?<![A-Za-z0-9@._%+/:#-])(?=[A-Za-z._%+/:#-]*+[0-9@])[A-Za-z0-9@][A-Za
 ROUNDS = 3
 #: A pattern's least score and least sum of its distinct values' confidences.
 PATTERN_SCORE, PATTERN_SUPPORT = 0.8, 5.0
+#: What a distinct value of no kind counts against a pattern.
+UNTYPED = 0.5
 #: A value's least confidence.
 CONFIDENT = 0.9
 
 
 def _spans(text: Column, pattern: str, hint: str) -> Column:
     """Matches as array<struct<start,end,value,left,right>>; left and right are the contexts."""
-    return F.transform(spans(text, pattern, hint), lambda s: F.struct(s["start"], s["end"], s["value"], left_context(s["before"]).alias("left"), right_context(s["after"]).alias("right")))
+    return F.transform(spans(text, pattern, hint), lambda s: F.struct(s["start"], s["end"], s["value"], left_contexts(s["before"]).alias("left"), right_contexts(s["after"]).alias("right")))
 
 
 def _holds(kind: str, value: Column) -> Column:
@@ -90,18 +93,22 @@ def discover(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(value, kind, confidence) of identifiers that are no seeds, by scoring the graph of contexts and values."""
     seeds = mentions.select(F.explode(F.concat(*(F.transform(k, _as_mention(k)) for k in KINDS))).alias("m")).select("m.*")
     others = mentions.select(F.explode("tokens").alias("m")).select(F.lit(None).cast("string").alias("kind"), F.col("m.value").alias("value"), F.col("m.left").alias("left"), F.col("m.right").alias("right"))
-    sides = F.array(F.concat(F.lit("< "), "left"), F.concat(F.lit("> "), "right"))  # null where there is none
-    edges = seeds.unionByName(others).select("kind", "value", F.explode(sides).alias("context"))
-    edges = materialise(edges.where("context is not null").distinct(), "pii-edges")
+    marked = lambda mark, side: F.transform(side, lambda c: F.concat(F.lit(mark), c))
+    sides = F.concat(marked("< ", "left"), marked("> ", "right"))
+    edges = materialise(seeds.unionByName(others).select("kind", "value", F.explode(sides).alias("context")).distinct(), "pii-edges")
     sizes = edges.groupBy("context").agg(F.count_distinct("value").alias("n"))
     graph = edges.select("context", "value").distinct()
     known = edges.where("kind is not null").select("value", "kind").distinct().withColumn("confidence", F.lit(1.0))
     trusted, found = known, None
     for k in range(rounds):
-        weight = graph.join(trusted, "value").groupBy("context", "kind").agg(F.sum("confidence").alias("weight"))
-        patterns = weight.where(F.col("weight") >= PATTERN_SUPPORT).join(sizes, "context").withColumn("score", F.least(F.lit(0.999), F.col("weight") / F.col("n")))
+        of_kind = [F.sum(F.when(F.col("kind") == k, F.col("confidence")).otherwise(0.0)).alias(k) for k in KINDS]
+        weight = graph.join(trusted, "value").groupBy("context").agg(F.sum("confidence").alias("typed"), *of_kind)
+        each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("weight")) for k in KINDS))).alias("w")
+        weight = weight.select("context", "typed", each).select("context", "typed", "w.*").where(F.col("weight") >= PATTERN_SUPPORT)
+        patterns = weight.join(sizes, "context").withColumn("score", F.least(F.lit(0.999), F.col("weight") / (F.col("typed") + F.greatest(F.lit(0.0), F.col("n") - F.col("typed")) * UNTYPED)))
         patterns = patterns.where(F.col("score") >= PATTERN_SCORE).select("context", "kind", "score")
-        reached = graph.join(patterns, "context").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("confidence"))
+        side = lambda mark: F.coalesce(F.max(F.when(F.col("context").startswith(mark), F.col("score"))), F.lit(0.0))
+        reached = graph.join(patterns, "context").groupBy("value", "kind").agg((1 - (1 - side("<")) * (1 - side(">"))).alias("confidence"))
         fresh = reached.join(known.select("value").distinct(), "value", "left_anti").where(F.col("confidence") >= CONFIDENT)
         best = fresh.groupBy("value").agg(F.max_by(F.struct("kind", "confidence"), F.struct("confidence", "kind")).alias("b"))  # one kind for a value
         found = materialise(best.select("value", "b.kind", "b.confidence"), f"pii-round{k}")
@@ -140,5 +147,6 @@ def spans_text(spans: Column) -> Column:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added")
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )

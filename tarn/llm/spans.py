@@ -50,15 +50,28 @@ def _context(flat: Column, rest: Column, punctuation: Column, side: int) -> Colu
     return F.when(word(flat) != "", word(flat)).when(flat != "", F.concat_ws(" ", near, F.replace(punctuation, F.lit(" "), F.lit(""))))
 
 
-def left_context(before: Column) -> Column:
-    """The word that ends the context before a match, lower-cased, without punctuation around it, or as in ``email =``."""
+#: Words on a side that contexts are made of: one, the nearest two, the nearest three.
+CONTEXT_WORDS = 3
+
+
+def _contexts(nearest: Column, flat: Column, side: int) -> Column:
+    """Contexts of one word and of several, nearest last on the left and first on the right, without punctuation around words."""
+    bare = F.transform(F.split(F.btrim(F.lower(flat)), " +"), lambda w: F.btrim(w, F.lit(_PUNCTUATION)))
+    words = F.filter(bare, lambda w: w != "")
+    several = [F.when(F.size(words) >= k, F.array_join(F.slice(words, -k, k) if side < 0 else F.slice(words, 1, k), " ")) for k in range(2, CONTEXT_WORDS + 1)]
+    return F.array_compact(F.array(nearest, *several))
+
+
+def left_contexts(before: Column) -> Column:
+    """array<string>: the word that ends the context before a match, lower-cased, without punctuation around it, or as in ``email =``;
+    the last two and three words."""
     flat = F.rtrim(_flat(before))
     rest = F.rtrim(flat, F.lit(_PUNCTUATION + " "))
-    return _context(flat, rest, F.substring(flat, F.length(rest) + 1, F.length(flat)), -1)
+    return _contexts(_context(flat, rest, F.substring(flat, F.length(rest) + 1, F.length(flat)), -1), flat, -1)
 
 
-def right_context(after: Column) -> Column:
+def right_contexts(after: Column) -> Column:
     """The same of the context after a match; marks that end a sentence or were trimmed from a token don't count."""
     flat = F.ltrim(_flat(F.ltrim(after, F.lit("._%+/:#-,;!?"))))
     rest = F.ltrim(flat, F.lit(_PUNCTUATION + " "))
-    return _context(flat, rest, F.substring(flat, F.lit(1), F.length(flat) - F.length(rest)), 1)
+    return _contexts(_context(flat, rest, F.substring(flat, F.lit(1), F.length(flat) - F.length(rest)), 1), flat, 1)

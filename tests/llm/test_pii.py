@@ -89,3 +89,73 @@ def test_assignments_quotes_tables_and_right_words_induce_patterns(spark):
     for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         want = {unseen[r.doc_id][:2]} if r.doc_id in unseen else set()
         assert {(s.kind, text[r.doc_id][s.start : s.end]) for s in r.added} == want, text[r.doc_id]
+
+
+def plain_rounds(mentions, rounds):
+    """The rounds over (value, kind or None, contexts) with dictionaries."""
+    seeds, contexts = {(v, k) for v, k, _ in mentions if k}, {}
+    for value, _, around in mentions:
+        for c in around:
+            contexts.setdefault(c, set()).add(value)
+    known, found = {v for v, _ in seeds}, {}
+    for _ in range(rounds):
+        trusted = {(v, k): 1.0 for v, k in seeds} | {(v, k): c for v, (k, c) in found.items()}
+        best = {}
+        for c, values in contexts.items():
+            typed = sum(trusted.get((v, kind), 0.0) for v in values for kind in pii.KINDS)
+            for kind in pii.KINDS:
+                weight = sum(trusted.get((v, kind), 0.0) for v in values)
+                score = min(0.999, weight / (typed + max(0.0, len(values) - typed) * pii.UNTYPED)) if weight else 0.0
+                if weight >= pii.PATTERN_SUPPORT and score >= pii.PATTERN_SCORE:
+                    for v in values:
+                        place = best.setdefault((v, kind), {})
+                        place[c[0]] = max(score, place.get(c[0], 0.0))
+        reached = {}
+        for (v, kind), sides in best.items():
+            confidence = 1 - (1 - sides.get("<", 0.0)) * (1 - sides.get(">", 0.0))
+            if v not in known and confidence >= pii.CONFIDENT:
+                reached[v] = max(reached.get(v, (0.0, "")), (confidence, kind))
+        found = {v: (kind, c) for v, (c, kind) in reached.items()}
+    return found
+
+
+def contact_corpus(seed, n=1000):
+    """Notices with seeds, unseen identifiers in the same contexts, and as many numbers and handles in other contexts."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=rnd.randrange(2, 8)))
+    prose = lambda: " ".join(word() for _ in range(rnd.randrange(5, 30)))
+    forms = {"email": ["you may write to {} at any time", "{} wrote last week", 'email: "{}",'], "phone": ["call me on {} before noon", "phone | {} |"], "ip": ["logged in from {} again"]}
+    seeds = {"email": lambda: f"{word()}{rnd.randrange(999)}@{word()}.org", "phone": lambda: f"+1 (555) {rnd.randrange(100, 999)}-{rnd.randrange(1000, 9999)}", "ip": lambda: ".".join(str(rnd.randrange(256)) for _ in range(4))}
+    unseen = {"email": lambda: f"{word()}{rnd.randrange(1000, 9999)}@{word()}", "phone": lambda: f"555-{rnd.randrange(1000, 9999)}", "ip": lambda: f"{word()}-{rnd.randrange(10000, 99999)}"}
+    rows, hidden = [], set()
+    for i in range(n):
+        kind = rnd.choice(list(forms))
+        form = rnd.choice(forms[kind])
+        if i % 10 == 0:
+            value = unseen[kind]()
+            hidden.add((i, kind, value))
+        elif i % 10 == 1:
+            value, form = f"{word()}{rnd.randrange(10000, 99999)}", rnd.choice(["item {} sold on {}", "the {} was", "come on {} now"])
+        else:
+            value = seeds[kind]()
+        rows.append((i, f"{prose()} {form.replace('{}', value)} {prose()}"))
+    return rows, hidden
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_discovery_recall_precision_and_plain_rounds(spark, seed):
+    rows, hidden = contact_corpus(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    mentions = pii.find_mentions(docs)
+    plain = []
+    for r in mentions.collect():
+        for kind in pii.KINDS:
+            plain += [(s.value, kind, {*(f"< {c}" for c in s.left), *(f"> {c}" for c in s.right)}) for s in r[kind]]
+        plain += [(s.value, None, {*(f"< {c}" for c in s.left), *(f"> {c}" for c in s.right)}) for s in r.tokens]
+    got = {r.value: (r.kind, r.confidence) for r in pii.discover(mentions).collect()}
+    want = plain_rounds(plain, pii.ROUNDS)
+    assert {v: k for v, (k, _) in got.items()} == {v: k for v, (k, _) in want.items()}
+    assert all(abs(got[v][1] - want[v][1]) < 1e-9 for v in want)
+    text = dict(rows)
+    added = {(r.doc_id, s.kind, text[r.doc_id][s.start : s.end]) for r in pii.find_personal_data(docs).collect() for s in r.added}
+    assert len(added & hidden) >= 0.9 * len(hidden) and len(added & hidden) >= 0.95 * len(added)
