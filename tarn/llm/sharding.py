@@ -13,6 +13,7 @@ Everything on the rows is DataFrame functions; the driver only draws the matrix,
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,16 +28,23 @@ MAX_BLOCKS = 32_768
 
 
 def _hypergeometric(random: np.random.Generator, good: int, bad: int, drawn: int) -> int:
-    """Of ``drawn`` rows out of good + bad, how many are good; beyond numpy's 1e9 by the normal law."""
-    if good == 0 or drawn == 0:
-        return 0
-    if bad == 0:
-        return drawn
+    """Of ``drawn`` rows out of good + bad, how many are good: by inversion of the hypergeometric law, whatever the numbers.
+
+    Probabilities relative to the mode's come from the ratios of neighbouring ones, up to where less than 1e-30 is left.
+    """
+    low, high = max(0, drawn - bad), min(good, drawn)
+    if low == high:
+        return low
     total = good + bad
-    if total < 1_000_000_000:
-        return int(random.hypergeometric(good, bad, drawn))
-    spread = drawn * (good / total) * (bad / total) * ((total - drawn) / (total - 1))
-    return min(good, drawn, max(0, drawn - bad, round(random.normal(drawn * good / total, spread**0.5))))
+    mode = min(high, max(low, (drawn + 1) * (good + 1) // (total + 2)))
+    spread = math.sqrt(drawn * (good / total) * (bad / total) * ((total - drawn) / max(1, total - 1)))
+    reach = int(12 * spread) + 40
+    k = np.arange(mode, min(high, mode + reach), dtype=float)
+    up = np.cumprod((good - k) * (drawn - k) / ((k + 1) * (bad - drawn + k + 1)))
+    k = np.arange(mode, max(low, mode - reach), -1, dtype=float)
+    down = np.cumprod(k * (bad - drawn + k) / ((good - k + 1) * (drawn - k + 1)))
+    sums = np.cumsum(np.concatenate([down[::-1], [1.0], up]))
+    return mode - len(down) + int(np.searchsorted(sums, random.random() * sums[-1], "right"))
 
 
 def communication_matrix(rows: list[int], columns: list[int], seed: int) -> list[list[int]]:

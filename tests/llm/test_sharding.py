@@ -1,6 +1,9 @@
+import math
 import zlib
 from collections import Counter
 
+import numpy as np
+import pytest
 from tarn.llm import sharding
 
 SCHEMA = "doc_id long, text string, shard string, tag string"
@@ -12,6 +15,42 @@ def test_matrix_has_the_sums():
     assert [sum(r) for r in got] == rows and [sum(c) for c in zip(*got, strict=True)] == columns
 
 
+@pytest.mark.parametrize(("good", "bad", "drawn"), [(5, 7, 4), (1, 40, 30), (30, 3, 20), (400, 9600, 2500), (60, 60, 119)])
+def test_draws_follow_the_hypergeometric_law(good, bad, drawn):
+    random = np.random.Generator(np.random.PCG64(5))
+    n = 20_000
+    got = Counter(sharding._hypergeometric(random, good, bad, drawn) for _ in range(n))
+    chance = lambda k: math.comb(good, k) * math.comb(bad, drawn - k) / math.comb(good + bad, drawn)
+    for k in range(max(0, drawn - bad), min(good, drawn) + 1):
+        p = chance(k)
+        assert abs(got[k] - n * p) < 5 * math.sqrt(n * p * (1 - p)) + 2, k
+
+
+def test_the_law_is_the_same_beyond_1e9_rows():
+    random = np.random.Generator(np.random.PCG64(6))
+    good, bad, drawn = 10**11, 23 * 10**11, 10**8
+    got = np.array([sharding._hypergeometric(random, good, bad, drawn) for _ in range(400)])
+    mean, spread = drawn / 24, math.sqrt(drawn / 24 * 23 / 24)
+    assert abs(got.mean() - mean) < 5 * spread / 20 and 0.8 < got.std() / spread < 1.2
+    matrix = sharding.communication_matrix([10**9 + 7, 3 * 10**9, 5], [2 * 10**9, 2 * 10**9 + 12], 1)
+    assert [sum(r) for r in matrix] == [10**9 + 7, 3 * 10**9, 5] and [sum(c) for c in zip(*matrix, strict=True)] == [2 * 10**9, 2 * 10**9 + 12]
+
+
+def plain_matrix(owner, sizes, seed):
+    """The same matrix by really shuffling all rows: the law that the drawn one follows."""
+    rows = np.random.Generator(np.random.PCG64(seed)).permutation(np.repeat(np.arange(len(owner)), owner))
+    cuts = np.cumsum([0, *sizes])
+    return [[int((rows[a:b] == k).sum()) for a, b in zip(cuts, cuts[1:], strict=False)] for k in range(len(owner))]
+
+
+def test_matrix_against_plain_shuffles():
+    owner, sizes = [4, 1, 7], [5, 4, 3]
+    drawn = Counter(str(sharding.communication_matrix(owner, sizes, k)) for k in range(6000))
+    plain = Counter(str(plain_matrix(owner, sizes, k)) for k in range(6000))
+    for matrix in drawn | plain:
+        assert abs(drawn[matrix] - plain[matrix]) < 6 * math.sqrt(drawn[matrix] + plain[matrix]) + 3, matrix
+
+
 def test_exact_sizes_gapless_slots_and_every_row_once(spark):
     rows = [(i, f"text {i % 9}", "old", None) for i in range(1000)] + [(None, None, None, "x")] * 7 + [(5, "text 5", "old", None)]
     docs = spark.createDataFrame(rows, SCHEMA)
