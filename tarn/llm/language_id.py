@@ -156,11 +156,12 @@ def identify(docs: DataFrame, model: LanguageModel, carry: list[str]) -> DataFra
     knows no language. Only the text is looked at. Repeated rows get the same answer; an empty table an empty one.
     """
     schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    own = [] if "text" in carry else [F.col("text").alias("__text")]
+    place, n = carry.index("text") if "text" in carry else len(carry), len(carry)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches):
-            column = batch.column(batch.num_columns - 1)
-            data, at = utf8_parts(column)
+            data, at = utf8_parts(batch.column(place))
             lang, score, unsure = [], [], []
             for k in range(batch.num_rows):
                 raw = data[at[k] : at[k + 1]]
@@ -171,9 +172,9 @@ def identify(docs: DataFrame, model: LanguageModel, carry: list[str]) -> DataFra
                     continue
                 best, p, lead = model.decode(features(raw))
                 lang.append(model.languages[best]), score.append(p), unsure.append(lead < AMBIGUOUS)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], schema.names)
 
-    return map_arrow(docs.select(*carry, F.col("text").alias("__text")), predict, schema)
+    return map_arrow(docs.select(*carry, *own), predict, schema)
 
 
 def held_out() -> Column:

@@ -56,6 +56,18 @@ def test_cut_offs_cover_every_row_and_merge(spark):
     assert by == {0: 600, 1: 600, 2: 600}
 
 
+def test_cut_offs_differ_between_groups_and_follow_the_data(spark):
+    rnd = random.Random(8)
+    text = lambda n, marks: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9))) + "#" * (rnd.random() < marks) for _ in range(n))
+    rows = [(i, text(80, 0.0), "en", "plain") for i in range(300)] + [(1000 + i, text(80, 0.15), "en", "marked") for i in range(300)] + [(2000 + i, text(300, 0.02), "de", "long") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cuts = {r.source: r for r in quality.cut_offs(quality._with_ratios(quality.text_counts(docs, ["lang", "source"]))).where("level = 0").collect()}
+    for name in quality.RATIOS:
+        if name != "dup_line_share":  # a single line each
+            assert len({round(getattr(c, f"cut_{name}"), 6) for c in cuts.values()}) >= 2, name
+    assert cuts["plain"].cut_symbols_per_word < cuts["long"].cut_symbols_per_word < cuts["marked"].cut_symbols_per_word
+
+
 def test_empty_table_and_query(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string"
     empty = spark.createDataFrame([], schema)
@@ -79,7 +91,7 @@ def test_adaptive_cut_offs_decide_and_are_bounded(spark):
 
     rows = skewed()
     docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r.doc_id for r in quality.quality_verdicts(docs, adaptive=True).where("kept").collect()}
+    kept = {r.doc_id for r in quality.quality_verdicts(docs).where("kept").collect()}
     assert kept == {r[0] for r in rows if "*" not in r[1] and "#" not in r[1]}
     assert {r.doc_id for r in cp.by_quality(spark, docs, "").collect()} == kept
 
@@ -88,5 +100,5 @@ def test_adaptive_words_of_a_language_stay_its_own(spark):
     rnd = random.Random(2)
     text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(n + rnd.randrange(-1, 2))) for _ in range(60))
     rows = [(i, text(4), "en", "x") for i in range(500)] + [(500 + i, text(14), "fi", "x") for i in range(110)] + [(900, text(30), "fi", "x"), (901, text(14), "en", "x")]
-    got = quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), adaptive=True).where("not kept").collect()
+    got = quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("not kept").collect()
     assert {r.doc_id for r in got} == {900, 901}
