@@ -20,31 +20,18 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the learned languages; texts without a letter and ambiguous ones go."""
     model = language_id.train(docs, ~language_id.held_out())
-    judged = language_id.identify(docs.select(*COLUMNS).withColumn("__kept", F.col("text")), model, [*COLUMNS[:1], "__kept", *COLUMNS[2:]])
-    return judged.where("lang_pred <> 'und' and not ambiguous").select("doc_id", F.col("__kept").alias("text"), *COLUMNS[2:])
-
-
-def _ids_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among ``kept``; ids are compared null-safe."""
-    kept = kept.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    judged = language_id.identify(docs.select(*COLUMNS), model, list(COLUMNS))
+    return judged.where("lang_pred <> 'und' and not ambiguous").select(*COLUMNS)
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality rules keep, with adaptive cut-offs.
-
-    A verdict rests on text, language and source, so it is joined back by those beside the id: rows of one id, or without one, have their own.
-    """
-    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
-    verdicts = quality.quality_verdicts(docs.withColumn("doc_id", F.struct("doc_id", key)), adaptive=True).where("kept")
-    kept = verdicts.select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.key").alias("__key"), F.col("lang").alias("__lang"), F.col("source").alias("__source")).distinct()
-    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in (("doc_id", "__id"), ("lang", "__lang"), ("source", "__source"))]
-    return docs.select(*COLUMNS).join(kept, [*same, key == F.col("__key")], "left_semi")
+    """Rows that the quality rules keep, each judged by its own text, language and source."""
+    return quality.keep_good(docs.select(*COLUMNS))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: shingles of five words, a similarity of 0.8 or more."""
-    return _ids_of(docs, near_dedup.near_duplicate_classes(docs).where("kept"))
+    """One row of each class of near-duplicates, also among rows without an id, that share one, or are repeated: shingles of five words, a similarity of 0.8 or more."""
+    return near_dedup.one_of_each_class(docs.select(*COLUMNS))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
