@@ -6,11 +6,11 @@
 2. Rows with the same set are one node of the graph; a group of copies is never expanded.
 3. Hub rounds: in each band bucket every node is paired with one node of the bucket, the hub, so that there are as many pairs as
    rows. Pairs whose sketches or set sizes rule out the threshold are dropped, the others are compared on their
-   full shingle sets; a hub's set travels once for each ``part_nodes`` of its pairs. Linked nodes get one label.
+   full shingle sets; a hub's set travels once for each ``hub_nodes`` of its pairs. Linked nodes get one label.
    Most buckets then have one label and are done; those with several have another round with another hub.
 4. What is left is compared exhaustively: in a bucket with several labels, the nodes outside its largest label meet all
-   nodes of other labels, in parts of at most ``part_nodes`` against ``part_nodes``; sketches first, and sets only of
-   nodes that have a partner by their sketches. Only a spanning forest of the links leaves a task.
+   nodes of other labels, in parts of at most ``part_nodes`` against ``part_nodes``; sketches first, each pair in
+   the first bucket that it shares, and then the sets of nodes that have a partner by their sketches. Only a spanning forest of the links leaves a task.
 5. The classes are the components of all links; their id is the smallest document id.
 
 With the default bands a pair at the threshold of 0.8 is missed by all buckets with probability 3e-6
@@ -42,9 +42,10 @@ class NearDedup:
     rows: int = 5
     sketch_bits: int = 512
     hub_rounds: int = 1  # a node meets a hub in each of its buckets
-    #: Nodes of a part that meets a hub or another part in one task, and the shingles in it on average.
-    part_nodes: int = 64
-    part_shingles: int = 2_000_000
+    #: Nodes of a part that meets a hub in one task, nodes of a part that meets another part, and the shingles in it on average.
+    hub_nodes: int = 128
+    part_nodes: int = 1024
+    part_shingles: int = 1_000_000
 
     @property
     def size(self) -> int:
@@ -127,8 +128,8 @@ def _sizes_allow(a: str, b: str, s: NearDedup) -> Column:
 
 
 def shingle_tables(docs: DataFrame, nodes: DataFrame, s: NearDedup) -> DataFrame:
-    """node and items (its sorted shingle set, 64-bit) of ``nodes`` (node, first, copies, set_key), from the texts that they stand for."""
-    wanted = nodes.select("node", "copies", "set_key", F.col("first.text_key").alias("__key"), F.col("first.doc_id").alias("__id"))
+    """node and items (its sorted shingle set, 64-bit) of ``nodes`` (node, first, set_key), from the texts that they stand for."""
+    wanted = nodes.select("node", "set_key", F.col("first.text_key").alias("__key"), F.col("first.doc_id").alias("__id"))
     found = docs.join(wanted, (_text_key() == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
 
     def items_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +138,7 @@ def shingle_tables(docs: DataFrame, nodes: DataFrame, s: NearDedup) -> DataFrame
             mine = [k for k, (x, key) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if set_key(x) == key]  # else a text with the same hash
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(mine, pa.int64())), pa.array([sets[k].tobytes() for k in mine], pa.binary())], ["node", "items"])
 
-    make = lambda part: map_arrow(found.where(part).select("node", "set_key", "text"), items_of, "node long, items binary")
-    return make("copies = 1").unionByName(make("copies > 1").dropDuplicates(["node"]))  # a row may be repeated
+    return map_arrow(found.select("node", "set_key", "text"), items_of, "node long, items binary")
 
 
 def _linked(own: np.ndarray, others: list[np.ndarray], s: NearDedup) -> np.ndarray:
@@ -176,7 +176,7 @@ def _by_group(rows: DataFrame, keys: list[str], order: list[str], columns: list[
 
 def hub_links(pairs: DataFrame, sets: DataFrame, s: NearDedup) -> DataFrame:
     """(src, dst): the linked ones of distinct pairs (node, hub, n_shingles); each part of a hub's pairs is a task's group."""
-    parts = pairs.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / s.part_nodes), F.ceil(F.sum("n_shingles") / s.part_shingles)).alias("parts"))
+    parts = pairs.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / s.hub_nodes), F.ceil(F.sum("n_shingles") / s.part_shingles)).alias("parts"))
     dealt = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", F.lit(1).alias("member"))
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"), F.lit(0).alias("member"))
 
@@ -190,10 +190,11 @@ def hub_links(pairs: DataFrame, sets: DataFrame, s: NearDedup) -> DataFrame:
     return _by_group(dealt.unionByName(hubs).join(sets, "node"), ["hub", "part"], ["member"], ["node", "member", "items"], compare, ("src", "dst"))
 
 
-def _met(rows: DataFrame, s: NearDedup) -> DataFrame:
+def _met(rows: DataFrame, s: NearDedup, with_sets: bool = True) -> DataFrame:
     """rows (bucket, node, label, n_shingles, apart) copied to the tasks (bucket, part, other) in which a part of the nodes with ``apart``
     meets a part of the bucket's nodes; side 0 asks, side 1 answers."""
-    size = lambda c: F.greatest(F.ceil(F.count_if(c) / s.part_nodes), F.ceil(F.sum(F.when(c, F.col("n_shingles"))) / s.part_shingles), F.lit(1)).cast("long")
+    shingles_in = lambda c: F.sum(F.when(c, F.col("n_shingles"))) if with_sets else F.lit(0)
+    size = lambda c: F.greatest(F.ceil(F.count_if(c) / s.part_nodes), F.ceil(shingles_in(c) / s.part_shingles), F.lit(1)).cast("long")
     counts = rows.groupBy("bucket").agg(size(F.col("apart")).alias("asking"), size(F.lit(True)).alias("answering"))
     rows = rows.join(counts, "bucket")
     up_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -223,13 +224,19 @@ def exhaustive_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, s: Near
         if not asking or not answering:
             return []
         labels, sizes, sketches = (stack([h[k] for h in answering]) for k in (1, 2, 3))
+        home = asking[0][4]
+        shared = np.full((len(answering), max(len(h[5]) for h in answering)), home)
+        for k, h in enumerate(answering):
+            shared[k, : len(h[5])] = h[5]
         met, hit = np.zeros(len(answering), bool), []
         for x in asking:
-            found = near(x, labels, sizes, sketches)
-            met |= found
-            if found.any():
-                hit.append((x[4], x[0]))
-        return hit + [(answering[k][4], answering[k][0]) for k in np.flatnonzero(met)]
+            found = np.flatnonzero(near(x, labels, sizes, sketches))
+            if len(found) and (earlier := [b for b in x[5] if b < home]):
+                found = found[~np.isin(shared[found], earlier).any(axis=1)]  # such a pair meets in that bucket
+            if len(found):
+                met[found] = True
+                hit.append((home, x[0]))
+        return hit + [(home, answering[k][0]) for k in np.flatnonzero(met)]
 
     def compare(held: list[tuple]) -> list[tuple[int, int]]:
         asking, answering = sides(held)
@@ -253,8 +260,9 @@ def exhaustive_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, s: Near
 
     keys = ["bucket", "part", "other"]
     known = nodes.select("node", "n_shingles", "sketch")
-    met = _met(rows.join(known, "node"), s).withColumn("home", F.col("bucket"))
-    alive = _by_group(met, keys, ["side"], ["side", "node", "label", "n_shingles", "sketch", "home"], screen, ("bucket", "node")).distinct()
+    places = rows.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # a bucket for each band at most
+    met = _met(rows.join(known, "node").join(places, "node"), s, False).withColumn("home", F.col("bucket"))
+    alive = _by_group(met, keys, ["side"], ["side", "node", "label", "n_shingles", "sketch", "home", "buckets"], screen, ("bucket", "node")).distinct()
     alive = materialise(alive, "near-screened")
     left = _met(rows.join(alive, ["bucket", "node"]).join(known, "node"), s).join(sets, "node")
     return _by_group(left, keys, ["side"], ["side", "node", "label", "n_shingles", "sketch", "items"], compare, ("src", "dst"))
@@ -265,7 +273,11 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, s: NearDedup) -> DataFrame:
     in_bucket = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = in_bucket.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
     members = materialise(in_bucket.join(shared, "bucket"), "near-buckets")
-    sets = materialise(shingle_tables(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), s), "near-sets")
+    sets = shingle_tables(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), s)
+    sets = materialise(sets, "near-sets")
+    again = sets.groupBy("node").count().where("count > 1").select("node")  # rows may be repeated
+    if not again.isEmpty():
+        sets = materialise(sets.join(again, "node", "left_anti").unionByName(sets.join(again, "node", "left_semi").dropDuplicates(["node"])), "near-sets")
     known = nodes.select("node", "n_shingles", "sketch")
     labels = None  # (node, label) of linked nodes so far
 
@@ -346,6 +358,19 @@ def near_duplicate_classes(docs: DataFrame, settings: NearDedup | None = None) -
     return classes(docs, settings).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def one_of_each_class(docs: DataFrame, settings: NearDedup | None = None) -> DataFrame:
+    """The rows of docs (doc_id, text and other columns) without near-duplicates: of each class the row with the smallest doc_id stays, rows
+    without one coming last, and of repeated rows one. Texts without a word are no duplicates and all stay."""
+    rows = classes(docs, settings).groupBy("doc_id", "text_key").agg(F.bool_and("best").alias("best"), (F.sum(F.sign("n_shingles")) > 1).alias("repeated"))
+    marked = materialise(rows.where("not best or repeated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "best"), "near-marked")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_text_key() == F.col("__key"))
+    left = docs.join(marked.select("__id", "__key"), same, "left_anti")
+    again = marked.where("best")
+    if again.isEmpty():
+        return left
+    return left.unionByName(docs.join(again, same).dropDuplicates(["__id", "__key"]).select(*docs.columns))
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"), NearDedup(width=3, percent=85))
 

@@ -61,7 +61,7 @@ def test_classes_against_all_pairs(spark, width, percent, seed):
 @pytest.mark.parametrize("hub_rounds", [0, 1, 3])
 def test_groups_over_several_parts_and_without_hubs(spark, hub_rounds):
     rows = corpus(7, groups=2, most=80)
-    settings = nd.NearDedup(width=3, percent=85, part_nodes=5, part_shingles=900, hub_rounds=hub_rounds)
+    settings = nd.NearDedup(width=3, percent=85, hub_nodes=3, part_nodes=5, part_shingles=900, hub_rounds=hub_rounds)
     got = nd.near_duplicate_classes(spark.createDataFrame(rows, SCHEMA), settings).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, 85)
 
@@ -69,7 +69,7 @@ def test_groups_over_several_parts_and_without_hubs(spark, hub_rounds):
 def test_a_chain_that_no_hub_covers(spark):
     words = [f"w{k}" for k in range(300)]
     rows = [(100 - k, " ".join(words[4 * k : 4 * k + 60]), "x", None) for k in range(40)]  # each is linked with its neighbours only
-    got = nd.near_duplicate_classes(spark.createDataFrame(rows, SCHEMA), nd.NearDedup(width=3, percent=85, part_nodes=4)).collect()
+    got = nd.near_duplicate_classes(spark.createDataFrame(rows, SCHEMA), nd.NearDedup(width=3, percent=85, hub_nodes=2, part_nodes=4)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, 85)
 
 
