@@ -24,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, map_arrow, table
+from .common import chunks, map_arrow, table, utf8_parts
+from .shingles import eight_bytes, pieces, word_hashes, word_places
 
 CAPACITY = 4096
 #: A longer remainder is cut, so that a window holds several pieces and sums can be balanced.
@@ -34,6 +35,14 @@ GROUP_TOKENS = 1 << 19
 END_ID = 2
 #: Distinct words whose ids a worker remembers.
 CACHE_WORDS = 500_000
+#: Bytes of text that are encoded at once.
+PIECE_BYTES = 1 << 21
+_TAIL = np.zeros(256, bool)
+_TAIL[list(b"!#$%&*,./:;?|")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def karmarkar_karp(sizes: list[int], k: int) -> tuple[list[int], int]:
@@ -94,22 +103,24 @@ def _byte_letters() -> str:
 
 
 class WordEncoder:
-    """Token ids of texts as little-endian uint32 bytes, word by word, with a bounded memory of words.
+    """Token ids of texts, word by word, with a bounded memory of words.
 
     For a byte-level tokenizer that lower-cases, drops white space, marks a word's end and never joins across it or
-    across the end of a run of letters, a text's ids are those of its words in order, and a word's those of its
-    letters and of the ASCII punctuation after them. Only ASCII white space splits here. Plain Latin-1 words go to
-    the tokenizer's model without its normaliser and pattern, which wouldn't change them; all else goes to the
-    whole tokenizer. New words are encoded many at a time: the end mark, or a special token, tells them apart.
+    across the end of a run of letters, a text's ids are those of its words in order, and a word's those of what stands before
+    the ASCII punctuation that follows its last letter or digit, and of that tail. Only ASCII white space splits here. The words of a
+    piece of text are told apart by their hashes, and equal hashes are compared byte by byte; each distinct word is looked up
+    once, and the ids are gathered with numpy. Plain Latin-1 words go to the tokenizer's model without its normaliser and pattern, which
+    wouldn't change them; all else goes to the whole tokenizer. New words are encoded many at a time: the end mark, or a
+    special token, tells them apart.
     """
 
-    _WORD = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*,./:;?|]*)|(.+))$", re.MULTILINE)
+    _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
     _LETTERS = _byte_letters()
 
-    def __init__(self, path: str, separator: str = "<|startoftext|>", end: str = "</w>", most: int = CACHE_WORDS):
+    def __init__(self, path: str, separator: str = "<|startoftext|>", end: str = "</w>", most: int = CACHE_WORDS, piece_bytes: int = PIECE_BYTES):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known, self.most, self.separator = Tokenizer.from_file(path), {}, most, separator
+        self.tokenizer, self.known, self.most, self.separator, self.piece_bytes = Tokenizer.from_file(path), {}, most, separator, piece_bytes
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -129,8 +140,8 @@ class WordEncoder:
         return out
 
     def _encode_plain(self, words: list[str]) -> list[bytes]:
-        """Ids of words of lower-case Latin-1 letters."""
-        letters = [w if w.isascii() else w.encode().decode("latin-1").translate(self._LETTERS) for w in words]
+        """Words of Latin-1 letters."""
+        letters = [w.lower() if w.isascii() else w.lower().encode().decode("latin-1").translate(self._LETTERS) for w in words]
         out = []
         for got in self.plain.encode_batch_fast([" ".join(letters[k : k + 1024]) for k in range(0, len(letters), 1024)], add_special_tokens=False):
             ids = np.array(got.ids, "<u4")
@@ -138,22 +149,86 @@ class WordEncoder:
             out += [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of a few dozen texts."""
-        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
-        here = dict.fromkeys(itertools.chain.from_iterable(split))  # small enough for the processor's cache, unlike all known words
-        here = dict(zip(here, map(self.known.get, here), strict=True))
-        if new := [word for word, ids in here.items() if ids is None]:
-            found = self._WORD.findall(b"\n".join(new).decode())  # letters and tail of a plain word, or else the word
-            other = self._encode([*{x[1] for x in found if x[1]}, *(x[2] for x in found if x[2])]) | {"": b""}
-            plain = iter(self._encode_plain([x[0].lower() for x in found if x[0]]))
-            fresh = {word: next(plain) + other[tail] if letters else other[whole] for word, (letters, tail, whole) in zip(new, found, strict=True)}
-            here.update(fresh)
-            if len(self.known) + len(fresh) > self.most:
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words as little-endian uint32."""
+        ids = list(map(self.known.get, words))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        if missing:
+            new = b"\n".join([words[k] for k in missing]).decode().split("\n")
+            plain = list(map(bool, map(self._PLAIN.fullmatch, new)))
+            easy = iter(self._encode_plain(list(itertools.compress(new, plain))))
+            hard = self._encode([w for w, p in zip(new, plain, strict=True) if not p])
+            found = [next(easy) if p else hard[w] for w, p in zip(new, plain, strict=True)]
+            for k, x in zip(missing, found, strict=True):
+                ids[k] = x
+            if len(self.known) + len(found) > self.most:
                 self.known = dict(itertools.islice(self.known.items(), len(self.known) // 2, None))  # the newer half stays
-            self.known.update(fresh)
-        look_up = here.__getitem__
-        return [b"".join(map(look_up, x)) for x in split]
+            self.known.update(zip([words[k] for k in missing], found, strict=True))
+        return ids
+
+    @staticmethod
+    def _with_tails(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words, cut before the punctuation that follows a last letter or digit."""
+        end = start + length
+        last = np.maximum.accumulate(np.where(_TAIL[data], 0, np.arange(len(data))))[end - 1]  # the last byte that is no such punctuation
+        here, before = data[last], data[np.maximum(last, 1) - 1]
+        letter = _ALNUM[here] | ((before == 0xC3) & (here >= 0x80) & (here != 0x97) & (here != 0xB7) & (last > start))
+        cut = np.flatnonzero((last >= start) & (last < end - 1) & letter)
+        tail = last[cut] + 1
+        length[cut] = tail - start[cut]
+        order = np.argsort(np.concatenate([start, tail]), kind="stable")
+        return np.concatenate([start, tail])[order], np.concatenate([length, end[cut] - tail])[order]
+
+    def _piece(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the words of a piece, the number of ids of each, and the ids."""
+        start, length = self._with_tails(data, *word_places(data, cuts))
+        if not len(start):
+            return start, length, np.zeros(0, "<u4")
+        _, first, which = np.unique(word_hashes(data, start, length), return_index=True, return_inverse=True)
+        raw, lanes = data.tobytes(), eight_bytes(data)
+        twin = first[which]
+        same = length == length[twin]
+        same &= (lanes[start] ^ lanes[start[twin]]) << (64 - 8 * np.minimum(length, 8)).astype(np.uint64) == 0
+        long = np.flatnonzero(length > 8)
+        same[long] &= (lanes[start[long] + 8] ^ lanes[start[twin[long]] + 8]) << (64 - 8 * np.minimum(length[long] - 8, 8)).astype(np.uint64) == 0
+        longer = np.flatnonzero(length > 16)
+        spans = zip(start[longer].tolist(), start[twin[longer]].tolist(), length[longer].tolist(), strict=True)
+        same[longer] &= np.array([raw[a + 16 : a + n] == raw[b + 16 : b + n] for a, b, n in spans], bool)
+        if not same.all():  # two words with one hash: all words of the piece by themselves
+            first = which = np.arange(len(start))
+        ids = self._ids_of([raw[a : a + n] for a, n in zip(start[first].tolist(), length[first].tolist(), strict=True)])
+        sizes = np.array(list(map(len, ids)), np.int64) // 4
+        found, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        counts = sizes[which]
+        before = np.cumsum(counts) - counts
+        return start, counts, found[np.repeat(at[which] - before, counts) + np.arange(int(counts.sum()))]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8 bytes and n + 1 offsets) one after another, and the n + 1 offsets of each text's ids; with ``end_id`` after each text."""
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # "<|": such texts keep their case
+        data, kept = _LOWER[data], data
+        for k in np.unique(np.searchsorted(offsets, special, "right") - 1).tolist():
+            data[offsets[k] : offsets[k + 1]] = kept[offsets[k] : offsets[k + 1]]
+        starts, counts, ids = [], [], []
+        for begin, stop in pieces(data, self.piece_bytes):
+            a, b = np.searchsorted(offsets, (begin + 1, stop), "left")
+            at, n, found = self._piece(data[begin:stop], offsets[a:b] - begin)
+            starts.append(at + begin)
+            counts.append(n)
+            ids.append(found)
+        none = np.zeros(0, np.int64)
+        sums = np.concatenate([[0], np.cumsum(np.concatenate([none, *counts]))])
+        at = sums[np.searchsorted(np.concatenate([none, *starts]), offsets, "left")]
+        ids = np.concatenate([np.zeros(0, "<u4"), *ids])
+        if end_id is None:
+            return ids, at
+        out = np.full(len(ids) + len(offsets) - 1, end_id, "<u4")
+        at = at + np.arange(len(at))
+        own = np.ones(len(out), bool)
+        own[at[1:] - 1] = False
+        out[own] = ids
+        return out, at
 
 
 @functools.lru_cache(maxsize=2)
@@ -175,7 +250,6 @@ def pack_documents(
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    tail = np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core; idle threads of the library would only spin
@@ -202,24 +276,27 @@ def pack_documents(
             done.clear()
             return made
 
-        for batch in batches_of(batches, 64):
+        for batch in batches:
             id_type = batch.schema.field(0).type
-            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                ids += tail
-                n = len(ids) // 4
-                full = n // capacity * capacity
-                for a in range(0, full, capacity):
-                    done.append((doc, a, capacity, ids[4 * a : 4 * (a + capacity)], n, base + next(sequences), 0))
-                rest = n - full
-                parts = -(-rest // max_piece)
-                for k in range(parts):
-                    a, b = full + rest * k // parts, full + rest * (k + 1) // parts
-                    waiting.append((doc, a, b - a, ids[4 * a : 4 * b], n))
-                tokens += rest
-                if tokens >= group_tokens:
-                    close()
-            yield rows()
+            names_of = batch.column(0).to_pylist()
+            data, offsets = utf8_parts(batch.column(1))
+            for first, last in chunks(offsets, PIECE_BYTES):
+                ids, ids_at = encoder.encode(data, offsets[first : last + 1], end_id)
+                raw = ids.tobytes()
+                for doc, begin, stop in zip(names_of[first:last], ids_at[:-1].tolist(), ids_at[1:].tolist(), strict=True):
+                    n = stop - begin
+                    full = n // capacity * capacity
+                    for a in range(0, full, capacity):
+                        done.append((doc, a, capacity, raw[4 * (begin + a) : 4 * (begin + a + capacity)], n, base + next(sequences), 0))
+                    rest = n - full
+                    parts = -(-rest // max_piece)
+                    for k in range(parts):
+                        a, b = full + rest * k // parts, full + rest * (k + 1) // parts
+                        waiting.append((doc, a, b - a, raw[4 * (begin + a) : 4 * (begin + b)], n))
+                    tokens += rest
+                    if tokens >= group_tokens:
+                        close()
+                yield rows()
         if id_type is not None:
             close()
             yield rows()

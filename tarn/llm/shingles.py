@@ -9,6 +9,7 @@ no family of words collides by construction, as families do under polynomials mo
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -35,10 +36,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _word_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Hashes of the words at these places: chained over lanes of eight bytes, from the length."""
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as a number; zeros after the end."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    lanes = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))  # eight bytes from every place on
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the words at these places: chained over lanes of eight bytes, from the length."""
+    lanes = eight_bytes(data)
     out = mix(length.astype(np.uint64) * _SEED + np.uint64(1))
     rest, at, short = length.copy(), start.copy(), np.flatnonzero(length <= LONG_WORD)
     while len(short):
@@ -53,8 +59,8 @@ def _word_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.
     return out
 
 
-def _piece_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of a piece; none reaches across a cut."""
+def word_places(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the words of a piece; none reaches across a cut."""
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = ~_SPACE[data]
     step = np.diff(inside)
@@ -62,33 +68,39 @@ def _piece_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.nda
     joined = cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)]
     start[joined], end[joined - 1] = True, True
     start = np.flatnonzero(start)
-    return start, _word_hashes(data, start, np.flatnonzero(end) + 1 - start)
+    return start, np.flatnonzero(end) + 1 - start
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts, in order, and the n + 1 offsets of each text's words.
-
-    Texts are gone through in pieces that end at white space (or where one does after a longer word), so memory beyond
-    the result, 16 bytes a word, doesn't grow with a text.
-    """
-    offsets = offsets - offsets[0]
-    n, begin, starts, hashes = len(data), 0, [], []
+def pieces(data: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``most`` bytes that end at white space, or where one does after a longer word."""
+    n, begin = len(data), 0
     while begin < n:
-        stop = min(n, begin + PIECE_BYTES)
+        stop = min(n, begin + most)
         if stop < n:
             space = np.flatnonzero(_SPACE[data[begin:stop]])
             if len(space):
                 stop = begin + int(space[-1]) + 1
-            else:  # a word longer than a piece
-                while stop < n and not (space := np.flatnonzero(_SPACE[data[stop : stop + PIECE_BYTES]])).size:
-                    stop = min(n, stop + PIECE_BYTES)
+            else:
+                while stop < n and not (space := np.flatnonzero(_SPACE[data[stop : stop + most]])).size:
+                    stop = min(n, stop + most)
                 stop = stop + int(space[0]) + 1 if stop < n else n
+        yield begin, stop
+        begin = stop
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, in order, and the n + 1 offsets of each text's words.
+
+    Texts are gone through in pieces, so memory beyond the result, 16 bytes a word, doesn't grow with a text.
+    """
+    offsets = offsets - offsets[0]
+    starts, hashes = [], []
+    for begin, stop in pieces(data, PIECE_BYTES):
         a, b = np.searchsorted(offsets, (begin + 1, stop), "left")
-        piece = data[begin:stop]
-        at, found = _piece_words(_LOWER[piece] if lower else piece, offsets[a:b] - begin)
+        piece = _LOWER[data[begin:stop]] if lower else data[begin:stop]
+        at, length = word_places(piece, offsets[a:b] - begin)
         starts.append(at + begin)
-        hashes.append(found)
-        begin = stop
+        hashes.append(word_hashes(piece, at, length))
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets, "left").astype(np.int64)

@@ -11,13 +11,26 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 ALPHABET = [".", ",", "#", "<|ENDOFTEXT|>", "a", "B", "é", "é", " ", "\n", "\x1c", "\x85", "\xa0", "<|endoftext|>", "<|endof", "'s", "'", "1", "中", "Σ", "ς", "́", "!", "\x0b", "İ", "ﬁ", "﻿", "<|startoftext|>", "word", "Word.", "Être", "straße,", "Ñ", "ÿ!", "×", "÷", "ª", "ñu"]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_word_ids_are_those_of_the_whole_text(seed):
-    encoder, rnd = packing.WordEncoder(PATH, most=40), random.Random(seed)
+@pytest.mark.parametrize(("seed", "piece"), [(0, 1 << 21), (1, 64), (2, 300), (3, 1 << 21)])
+def test_word_ids_are_those_of_the_whole_text(seed, piece):
+    encoder, rnd = packing.WordEncoder(PATH, most=40, piece_bytes=piece), random.Random(seed)
     texts = ["".join(rnd.choices(ALPHABET, k=rnd.randrange(40))) for _ in range(400)]
-    got = [x for k in range(0, 400, 20) for x in encoder.encode([t.encode() for t in texts[k : k + 20]])]
-    for text, ids in zip(texts, got, strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+    for k in range(0, 400, 20):
+        raw = [t.encode() for t in texts[k : k + 20]]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        ids, at = encoder.encode(data, offsets)
+        ended, ended_at = encoder.encode(data, offsets, end_id=2)
+        for i, text in enumerate(texts[k : k + 20]):
+            want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+            assert ids[at[i] : at[i + 1]].tolist() == want, text
+            assert ended[ended_at[i] : ended_at[i + 1]].tolist() == [*want, 2]
+
+
+def test_words_with_one_hash_are_kept_apart(monkeypatch):
+    monkeypatch.setattr(packing, "word_hashes", lambda data, start, length: np.zeros(len(start), np.uint64))
+    encoder, text = packing.WordEncoder(PATH), "some words, and someotherwords with a commonstartingpart commonstartinghalf."
+    ids, _ = encoder.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("seed", range(5))
