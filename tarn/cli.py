@@ -75,7 +75,7 @@ def main(argv: list[str] | None = None) -> int:
     except Exception as e:  # noqa: BLE001  whatever keeps the corpus from being read
         print(e, file=sys.stderr)
         return 1
-    state = {"mode": mode, "k": args.k, "mmr": args.mmr, "session": engine.sessions.create_session()}
+    state = {"mode": mode, "k": args.k, "mmr": args.mmr, "session": engine.open_session()}
     ask = lambda q: show(engine.search(q, state["session"], state["mode"], state["k"], state["mmr"]), score_terms_of(q))
     if args.query is not None:
         ask(args.query)
@@ -91,6 +91,5 @@ def main(argv: list[str] | None = None) -> int:
 
 
 
-
 if __name__ == "__main__":
     sys.exit(main())

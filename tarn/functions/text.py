@@ -118,6 +118,39 @@ def snippet(text: Column, terms: list[str], width: int = 200) -> Column:
     return F.when(size <= width, flat).when(hit.isNull(), head).otherwise(around)
 
 
+def relevant_snippet(text: Column, terms: list[str], width: int = 180) -> Column:
+    """Text from 80 characters before the first term on, cut at a space where one is near, with an ellipsis on each side that was cut."""
+    text = F.coalesce(text, F.lit(""))
+    size, low = F.length(text), F.lower(text)
+    places = [F.nullif(F.locate(t.lower(), low), F.lit(0)) - 1 for t in terms if t]
+    hit = F.least(*places, F.lit(None)) if len(places) > 1 else (places[0] if places else F.lit(None).cast("int"))
+    wanted = F.greatest(F.lit(0), F.coalesce(hit, F.lit(0)) - 80)
+    space = F.locate(" ", F.substring(text, wanted + 1, F.lit(20)))  # 1 is the character at ``wanted``
+    start = F.when((wanted > 0) & (space > 0), wanted + space).otherwise(wanted)
+    full = F.least(size, start + width)
+    tail = F.locate(" ", F.reverse(F.substring(text, full - 18, F.lit(20))))  # from the character at ``full`` back
+    end = F.when((full < size) & (tail > 0), full - tail + 1).otherwise(full)
+    cut = lambda c: F.when(c, "…").otherwise("")
+    return clean_control(F.when(size <= width, text).otherwise(F.concat(cut(start > 0), F.substring(text, start + 1, end - start), cut(end < size))))
+
+
+def wrapped(text: str, width: int = 80) -> str:
+    """Lines of at most ``width`` characters, cut at the last space if it lies in a line's second half."""
+    text, lines = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ", text), []
+    while text:
+        end = width
+        if len(text) > width and (space := text.rfind(" ", 0, width + 1)) > width // 2:
+            end = space
+        lines.append(text[:end])
+        text = text[end:].lstrip(" ")
+    return "\n".join(lines)
+
+
+def now_iso() -> Column:
+    """The time in UTC to the second, as ``2026-01-31T09:05:00Z``."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def highlight(text: Column, terms: list[str], start: str = "<mark>", end: str = "</mark>") -> Column:
     """Whole-word hits wrapped, whatever their case, longer terms first."""
     unique = sorted({t for t in terms if t}, key=lambda t: (-len(t), t))

@@ -12,6 +12,7 @@ import urllib.error
 import urllib.request
 import urllib.robotparser
 from collections.abc import Callable, Iterator
+from functools import reduce
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -22,6 +23,7 @@ from tarn.functions.html import parsed
 from tarn.functions.text import crawl_segments
 from tarn.functions.urls import allowed_host, normalise_url
 from tarn.functions.words import RETRIABLE
+from tarn.tables import materialise
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -58,17 +60,36 @@ class Frontier:
         return True
 
 
-def crawl(pages: DataFrame, seeds: list[str], max_pages: int = 100, max_depth: int | None = None, max_links: int | None = None, hosts: list[str] | None = None, start_seq: int = 1) -> DataFrame:
-    """Documents (doc_id, url, title, text, tokens, token_segments, depth, content_length) in crawl order from pages (page_id, url, html)."""
-    spark = pages.sparkSession
-    web = pages.select("page_id", normalise_url(F.col("url")).alias("url"), "html").where("url is not null and html is not null")
-    web = web.groupBy("url").agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("p")).select("url", "p.*")
-    frontier, stored = Frontier(spark, hosts), []
+Source = Callable[[DataFrame], DataFrame]
+
+
+def from_table(pages: DataFrame) -> Source:
+    """A source that answers from a table of pages (page_id, url, html); of pages with one normalised URL the one with the least page_id."""
+    named = pages.where("html is not null").withColumn("__normal", normalise_url(F.col("url"))).where("__normal is not null")
+    first = materialise(named.groupBy(F.col("__normal").alias("__url")).agg(F.min("page_id").alias("__page")), "crawl-urls")
+
+    def get(asked: DataFrame) -> DataFrame:
+        wanted = first.join(F.broadcast(asked.select(F.col("url").alias("__url"))), "__url")
+        found = named.join(F.broadcast(wanted), (F.col("page_id") == F.col("__page")) & (F.col("__normal") == F.col("__url")))  # a level
+        return found.select("page_id", F.col("__url").alias("url"), "html")
+
+    return get
+
+
+def from_web(**options) -> Source:
+    """A source that fetches over HTTP; options are those of ``fetch``."""
+    return lambda asked: fetch(asked.select("url"), **options).where("html is not null").select(F.lit(None).cast("long").alias("page_id"), "url", "html")
+
+
+def crawl_from(spark: SparkSession, source: Source, seeds: list[str], max_pages: int = 100, max_depth: int | None = None, max_links: int | None = None, hosts: list[str] | None = None, start_seq: int = 1) -> DataFrame:
+    """Documents (doc_id, url, title, text, tokens, token_segments, depth, content_length) in crawl order. ``source`` gives pages (page_id, url, html) for
+    the URLs of a level; each page is got and parsed once, and kept in the shared folder."""
+    frontier, stored, levels = Frontier(spark, hosts), [], []
     queue = [u for u in frontier.normalise(seeds) if frontier.add(u, 0)]
     while queue and len(stored) < max_pages:
         asked = spark.createDataFrame(list(enumerate(queue)), "ord long, url string")
-        level = web.join(F.broadcast(asked), "url")  # a level is at most max_pages times the link quota
-        got = sorted(parse_pages(level).join(F.broadcast(asked), "url").select("ord", "url", "links").collect())[: max_pages - len(stored)]
+        levels.append(materialise(parse_pages(source(asked)).join(F.broadcast(asked), "url"), "crawl-level"))  # at most max_pages times the link quota
+        got = levels[-1].select("ord", "url", "links").orderBy("ord").limit(max_pages - len(stored)).collect()
         flat = frontier.normalise([link for r in got for link in r.links])
         queue, at = [], 0
         for r in got:
@@ -84,10 +105,32 @@ def crawl(pages: DataFrame, seeds: list[str], max_pages: int = 100, max_depth: i
                     queue.append(link)
                     added += 1
     order = spark.createDataFrame(stored, "seq long, url string, depth int")
-    found = parse_pages(web.join(F.broadcast(order.select("url")), "url")).join(F.broadcast(order), "url")
+    if not levels:
+        levels = [parse_pages(spark.createDataFrame([], "page_id long, url string, html string"))]
+    found = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), levels).join(F.broadcast(order), "url")
     return found.select(F.format_string("%06d", "seq").alias("doc_id"), "url", "title", "text", "tokens", "token_segments", "depth", "content_length")
 
 
+def crawl(pages: DataFrame, seeds: list[str], *limits, **named) -> DataFrame:
+    """``crawl_from`` over a table of pages (page_id, url, html)."""
+    return crawl_from(pages.sparkSession, from_table(pages), seeds, *limits, **named)
+
+
+def reachable(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(url, depth) of all pages that links lead to from the seeds (url), with the least number of links; no quota, nothing on the driver."""
+    there = pages.where("html is not null").select(normalise_url(F.col("url")).alias("url")).where("url is not null").distinct()
+    edges = materialise(link_graph(pages).select("src", "dst").distinct().join(there.select(F.col("url").alias("dst")), "dst", "left_semi"), "reach-edges")
+    level = seeds.select(normalise_url(F.col("url")).alias("url")).distinct().join(there, "url", "left_semi").withColumn("depth", F.lit(0))
+    found = level = materialise(level, "reach-level")
+    depth = 0
+    while not level.isEmpty() and (max_depth is None or depth < max_depth):
+        depth += 1
+        fresh = edges.join(level.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
+        level = materialise(fresh.join(found.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), "reach-level")
+        found = found.unionByName(level)
+    return found
+
+
 def is_retriable(status: int) -> bool:
     return status in RETRIABLE
 

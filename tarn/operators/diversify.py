@@ -37,7 +37,7 @@ def mmr_rerank(pool: DataFrame, doc_vectors: DataFrame, query_vectors: DataFrame
     unit = vectors.join(norms, ["query_id", "doc_id"]).select("query_id", "doc_id", "term", (F.col("weight") / F.col("norm")).alias("w"))
     q_norm = query_vectors.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q_weight") * F.col("q_weight"))).alias("norm"))
     q_unit = query_vectors.join(q_norm, "query_id").select("query_id", "term", (F.col("q_weight") / F.col("norm")).alias("q"))
-    one = lambda c: F.least(F.lit(1.0), c)
+    one = lambda c: F.round(F.least(F.lit(1.0), c), 9)  # noqa: E731  rounded, so that copies tie whatever the order of summation
     relevance = unit.join(q_unit, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(one(F.sum(F.col("w") * F.col("q"))).alias("relevance"))
     other = unit.select("query_id", F.col("doc_id").alias("other"), "term", F.col("w").alias("v"))
     near = unit.join(other, ["query_id", "term"]).where("doc_id < other").groupBy("query_id", "doc_id", "other").agg(one(F.sum(F.col("w") * F.col("v"))).alias("similarity"))

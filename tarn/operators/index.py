@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from tarn.functions import text as T
 
 
-#: An input of fewer bytes is dealt out before it is analysed.
-SMALL_BYTES = 256 << 20
-
-
 @dataclass(frozen=True)
 class Index:
     documents: DataFrame  # doc_id, title, url, text
@@ -34,15 +30,28 @@ class Index:
         """term, doc_id, tf, positions: of all words, by raw stop word or lemma."""
         return self.occurrences.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
+    def has_term(self, term: str) -> bool:
+        """Whether any document has the lemma."""
+        return not self.vocab.where(F.col("term") == term).isEmpty()
+
+    def has_document(self, doc_id: int) -> bool:
+        return not self.doc_stats.where(F.col("doc_id") == doc_id).isEmpty()
+
+    def dump(self, rows: int | None = None) -> DataFrame:
+        """The posting lists in order of term and document, all or the first ``rows``."""
+        listed = self.postings.orderBy("term", "doc_id")
+        return listed if rows is None else listed.limit(rows)
+
     def save(self, path: str, mode: str = "error") -> None:
         """Tables are written one after another, each from those already written, so that texts are read twice in all.
-        Those that are looked up by term are ranged and sorted by it, so that a term's filter reads few row groups."""
+        Those that are looked up by term are ranged and sorted by it and by document, so that a term's filter reads few row groups and a
+        frequent term is dealt to many tasks."""
         spark = self.documents.sparkSession
 
         def write(name: str, table: DataFrame) -> DataFrame:
-            key = next((k for k in ("term", "surface") if k in table.columns), None)
-            if key:
-                table = table.repartitionByRange(key).sortWithinPartitions(key)
+            keys = [k for k in ("term", "surface", "doc_id") if k in table.columns]
+            if keys[:1] in (["term"], ["surface"]):
+                table = table.repartitionByRange(*keys).sortWithinPartitions(*keys)
             table.write.mode(mode).parquet(f"{path}/{name}")
             return spark.read.parquet(f"{path}/{name}")
 
@@ -68,12 +77,10 @@ def with_columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), has("title").alias("title"), has("url").alias("url"), text.alias("text"))
 
 
-def spread(docs: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
-    """A small input, which may lie in a single row group, over all cores; a larger one as its files are split."""
-    if not hasattr(docs, "_jdf"):
-        return docs
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size <= most else docs
+def spread(docs: DataFrame) -> DataFrame:
+    """An input of fewer partitions than cores, which may lie in a single row group, over all cores; any other as its files are split."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -101,7 +108,7 @@ def _derive(docs: DataFrame, found: DataFrame, doc_terms: DataFrame | None = Non
     if doc_stats is None:
         lengths = doc_terms.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
         doc_stats = docs.select("doc_id").join(lengths, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
-    hashed = docs.agg(F.format_string("w2-%d-%016x", F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("doc_id", "text")), F.lit(0))).alias("version"))
+    hashed = docs.agg(F.format_string("w2-%d-%016x", F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("doc_id", "title", "url", "text")), F.lit(0))).alias("version"))
     stats = doc_stats.agg(F.count("*").alias("total_docs"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_doc_length")).crossJoin(hashed)  # a row each
     return Index(
         documents=docs,

@@ -79,6 +79,14 @@ def score(index: Index, candidates: DataFrame, terms: DataFrame, mode: str | Ran
     return candidates.join(scored, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def score_document(index: Index, doc_id: int, terms: DataFrame, mode: str | RankingMode = "bm25", **options) -> float:
+    """The score of one document for terms (term, df, qtf); 0 for a document without any of them, or that isn't there."""
+    one = terms.select(F.lit(0).cast("long").alias("query_id"), "*")
+    asked = index.doc_stats.where(F.col("doc_id") == doc_id).select(F.lit(0).cast("long").alias("query_id"), "doc_id")
+    row = score(index, asked, one, mode, **options).first()
+    return row["score"] if row else 0.0
+
+
 def document_vectors(index: Index, candidates: DataFrame, terms: DataFrame, df_scope: str = "candidates") -> DataFrame:
     """(query_id, doc_id, term, weight): TF-IDF vectors of the candidates, weights of 0 left out."""
     full = candidates.select("query_id", "doc_id").join(index.doc_terms, "doc_id")

@@ -61,29 +61,29 @@ class SQLiteCache:
 
     def _run(self, sql: str, values: tuple = ()):
         with closing(sqlite3.connect(self.path, timeout=5)) as db, db:
-            db.execute("CREATE TABLE IF NOT EXISTS cache_entries (cache_key TEXT PRIMARY KEY, index_version TEXT NOT NULL, results_json TEXT NOT NULL, created_at TEXT NOT NULL)")
+            db.execute("CREATE TABLE IF NOT EXISTS answers (asked TEXT PRIMARY KEY, of_index TEXT NOT NULL, rows TEXT NOT NULL, stored TEXT NOT NULL)")
             cursor = db.execute(sql, values)
             return cursor.fetchone() if cursor.description else cursor.rowcount
 
     def get(self, key):
         with suppress(sqlite3.Error, ValueError, TypeError):
-            row = self._run("SELECT index_version, results_json FROM cache_entries WHERE cache_key = ?", (json.dumps(key),))
+            row = self._run("SELECT of_index, rows FROM answers WHERE asked = ?", (json.dumps(key),))
             if row and row[0] == self.version and isinstance(found := json.loads(row[1]), list):
                 return found
         return None
 
     def put(self, key, value: list) -> None:
         with suppress(sqlite3.Error, ValueError, TypeError):
-            self._run("INSERT OR REPLACE INTO cache_entries VALUES (?, ?, ?, ?)", (json.dumps(key), self.version, json.dumps(value), datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")))
+            self._run("INSERT OR REPLACE INTO answers VALUES (?, ?, ?, ?)", (json.dumps(key), self.version, json.dumps(value), datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")))
 
     def remove(self, key) -> bool:
         with suppress(sqlite3.Error, ValueError, TypeError):
-            return self._run("DELETE FROM cache_entries WHERE cache_key = ?", (json.dumps(key),)) > 0
+            return self._run("DELETE FROM answers WHERE asked = ?", (json.dumps(key),)) > 0
         return False
 
     def clear(self) -> None:
         with suppress(sqlite3.Error):
-            self._run("DELETE FROM cache_entries")
+            self._run("DELETE FROM answers")
 
 
 class CacheManager:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
 from tarn.functions import urls as U
-from tarn.functions.words import CRAWL_STOPWORDS, INDEX_STOPWORDS, IRREGULAR
+from tarn.functions.words import BLOCK_TAGS, CRAWL_STOPWORDS, INDEX_STOPWORDS, IRREGULAR, SECTION_BREAK, SIMPLE_STOPWORDS
 from tarn.operators import crawl as C
 from tarn.operators import evaluate as E
 from tarn.operators import feedback as B
@@ -18,6 +19,8 @@ from tarn.operators import postings as P
 from tarn.operators import query as Q
 from tarn.operators import ranking as R
 from tarn.operators.diversify import mmr_rerank
+from tarn.operators.simple import simple_matches, simple_terms
+from tarn.plans.catalog import index_of
 from tarn.sources import corpus as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,17 +49,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> X.Index:
-    return X.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The saved index of all documents; built on the first call for these files."""
+    return index_of(spark, f"{sf_dir}/documents.parquet")
 
 
-def registered(sql: str | None = None, name: str | None = None):
+def registered(sql: str | None = None, name: str | None = None, recursive: bool = False):
     """Registers a query, with the SQL of its twin after the shared tables."""
 
     def keep(f):
         key = name or f.__name__
         QUERIES[key] = f
         if sql is not None:
-            ORACLES[key] = (PRELUDE + sql) if "WITH" not in sql[:12] else sql
+            whole = (PRELUDE + sql) if "WITH" not in sql[:12] else sql
+            ORACLES[key] = whole.replace("WITH docs", "WITH RECURSIVE docs", 1) if recursive else whole
         return f
 
     return keep
@@ -287,7 +292,7 @@ def candidate_df(spark, sf_dir):
     return x.doc_terms.join(found, "doc_id").groupBy("term").agg(F.count("*").alias("local_df"))
 
 
-_ASKED = """, asked AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS q FROM benchmark),
+_ASKED = """, asked AS (SELECT item_id AS query_id, text AS q FROM benchmark),
 qwords AS (SELECT query_id, lower(unnest(regexp_extract_all(q, '[A-Za-z0-9_*]+'))) AS w FROM asked),
 qterms AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, LEMMA AS term FROM qwords WHERE w NOT IN (STOP)) GROUP BY ALL),
 found AS (SELECT DISTINCT query_id, doc_id FROM qterms JOIN dt USING (term)),
@@ -297,19 +302,14 @@ top AS (SELECT query_id, CAST(rank AS INT) AS rank, doc_id, score FROM best WHER
 """.replace("LEMMA", lemma_sql("w")).replace("STOP", _quoted(INDEX_STOPWORDS))
 
 
-#: The same over whole benchmark texts.
-_ASKED_WHOLE = _ASKED.replace("array_to_string(string_split(text, ' ')[1:6], ' ')", "text")
+def _asked(spark, sf_dir):
+    """The benchmark's whole texts as queries."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _asked(spark, sf_dir, whole=False):
-    """The benchmark's texts as queries: whole, or the first six words that the SQL of the older queries asks."""
-    text = F.col("text") if whole else F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"))
-
-
-def _batch(spark, sf_dir, mode="bm25", whole=False):
+def _batch(spark, sf_dir, mode="bm25"):
     x = index(spark, sf_dir)
-    terms = R.batch_terms(x, _asked(spark, sf_dir, whole))
+    terms = R.batch_terms(x, _asked(spark, sf_dir))
     found = x.doc_terms.join(terms.select("query_id", "term"), "term").select("query_id", "doc_id").distinct()
     return R.top_k_per_query(R.score(x, found, terms, mode).withColumn("score", F.round("score", 6)), 10)
 
@@ -324,17 +324,24 @@ def batch_tfidf_topk(spark, sf_dir):
     return _batch(spark, sf_dir, "tfidf")
 
 
-@registered(_ASKED_WHOLE.replace("VALUE", _BM25) + "SELECT * FROM top")
-def batch_bm25_topk_whole(spark, sf_dir):
-    return _batch(spark, sf_dir, whole=True)
-
-
-@registered(_ASKED_WHOLE.replace("VALUE", "tf * greatest(0, log10(total / df))") + "SELECT * FROM top")
-def batch_tfidf_topk_whole(spark, sf_dir):
-    return _batch(spark, sf_dir, "tfidf", whole=True)
+#: Greedy choice from the best 20 by BM25, by recursion over the chosen ones.
+_MMR = (
+    f""", bm AS (SELECT doc_id, round(sum({_BM25}), 6) AS score FROM cand JOIN dt USING (doc_id) JOIN terms USING (term) JOIN lengths USING (doc_id), stats GROUP BY doc_id),
+pool AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS pool_rank FROM bm QUALIFY pool_rank <= 20),
+norms AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM vec JOIN pool USING (doc_id) GROUP BY doc_id),
+unit AS (SELECT doc_id, term, w / n AS w FROM vec JOIN norms USING (doc_id) WHERE w <> 0),
+q_norm AS (SELECT sqrt(sum(q * q)) AS n FROM qvec),
+rel AS (SELECT doc_id, round(least(1, sum(w * q / n)), 9) AS r FROM unit JOIN qvec USING (term), q_norm GROUP BY doc_id),
+sims AS (SELECT a.doc_id AS a, b.doc_id AS b, round(least(1, sum(a.w * b.w)), 9) AS s FROM unit a JOIN unit b USING (term) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+packed AS (SELECT (SELECT list({{'d': doc_id, 'r': coalesce(r, 0)}} ORDER BY pool_rank) FROM pool LEFT JOIN rel USING (doc_id)) AS items, (SELECT map(list(a || '-' || b), list(s)) FROM sims) AS near),
+steps AS (SELECT 0 AS step, CAST([] AS BIGINT[]) AS chosen, CAST(0 AS DOUBLE) AS value
+  UNION ALL SELECT step + 1, list_append(chosen, items[list_position(vals, list_max(vals))].d), list_max(vals) FROM (SELECT step, chosen, items, list_transform(items, lambda p: CASE WHEN list_contains(chosen, p.d) THEN -1e9
+    ELSE 0.7 * p.r - (1 - 0.7) * coalesce(list_max(list_transform(chosen, lambda c: coalesce(near[p.d || '-' || c], 0))), 0) END) AS vals FROM steps, packed WHERE step < least(10, len(items))))
+SELECT chosen[len(chosen)] AS doc_id, round(value, 6) AS mmr_score, step FROM steps WHERE step > 0"""
+)
 
 
-@registered()
+@registered((_MATCH + _VECTORS).partition(",\nscored AS")[0] + _MMR, recursive=True)
 def mmr_rerank_pool(spark, sf_dir):
     x = index(spark, sf_dir)
     one = lambda df: df.select(F.lit(0).cast("long").alias("query_id"), "*")
@@ -344,6 +351,18 @@ def mmr_rerank_pool(spark, sf_dir):
     return chosen.select("doc_id", F.round("mmr_score", 6).alias("mmr_score"), "step")
 
 
+#: A query of the stand-in grammar.
+SIMPLE = "th nd NOT er OR ing* AND the"
+
+
+@registered(f"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM documents),
+flags AS (SELECT doc_id, bool_or(w = 'th') AS th, bool_or(w = 'nd') AS nd, bool_or(w = 'er') AS er, bool_or(w LIKE 'ing%') AS ing FROM words WHERE w NOT IN ({_quoted(SIMPLE_STOPWORDS)}) GROUP BY doc_id)
+SELECT doc_id FROM flags WHERE ((th OR nd) AND NOT er) OR ing""")
+def simple_grammar(spark, sf_dir):
+    """``the`` is a stop word, and with it goes its AND."""
+    return simple_matches(simple_terms(table(spark, sf_dir, "documents").select("doc_id", "text")), SIMPLE)
+
+
 # --- text helpers ----------------------------------------------------------------------------------------------------
 
 _SNIPPET = """WITH flat AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents),
@@ -398,9 +417,10 @@ def personalised_bm25(spark, sf_dir):
     x, marked = index(spark, sf_dir), _marked(spark, sf_dir)
     sessions = marked.select(F.col("session_id").alias("query_id")).distinct()
     terms = sessions.crossJoin(F.broadcast(Q.query_terms(x, RANKED)))  # the words of one query
-    found = sessions.crossJoin(Q.matching_documents(x, RANKED))  # every session asks the same
+    matched = replace(x, doc_terms=x.doc_terms.join(Q.matching_documents(x, RANKED), "doc_id", "left_semi"))
+    found = matched.doc_terms.join(terms, "term").select("query_id", "doc_id").distinct()  # a match has a term of the query
     boosts = B.boosts(x, marked).select(F.col("session_id").alias("query_id"), "term", F.round("weight", 9).alias("weight"))
-    scores = R.score(x, found, B.personalise(x, terms, boosts)).withColumn("score", F.round("score", 6))
+    scores = R.score(matched, found, B.personalise(x, terms, boosts)).withColumn("score", F.round("score", 6))
     return R.top_k_per_query(scores, 10)
 
 
@@ -409,8 +429,8 @@ def personalised_bm25(spark, sf_dir):
 _JUDGED = ", relevant AS (SELECT DISTINCT a.query_id, l.doc_id FROM asked a JOIN labels l ON l.quality = 1 AND l.doc_id % 40 = a.query_id % 40), sizes AS (SELECT query_id, count(*) AS n FROM relevant GROUP BY query_id)"
 
 
-def _metrics_sql(value: str, asked: str = _ASKED) -> str:
-    return asked.replace("VALUE", value) + _JUDGED + """, marked AS (SELECT t.query_id, t.rank, (r.doc_id IS NOT NULL)::INT AS hit FROM top t LEFT JOIN relevant r USING (query_id, doc_id)),
+def _metrics_sql(value: str) -> str:
+    return _ASKED.replace("VALUE", value) + _JUDGED + """, marked AS (SELECT t.query_id, t.rank, (r.doc_id IS NOT NULL)::INT AS hit FROM top t LEFT JOIN relevant r USING (query_id, doc_id)),
 running AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) / rank AS p FROM marked),
 sums_of AS (SELECT query_id, sum(hit) FILTER (rank <= 5) AS h5, sum(hit) AS h10, min(rank) FILTER (hit = 1) AS first, sum(hit * p) AS ps FROM running GROUP BY query_id),
 report AS (SELECT a.query_id, coalesce(CASE WHEN n > 0 THEN h5 / 5.0 END, 0.0) AS precision_at_5, coalesce(CASE WHEN n > 0 THEN h10 / 10.0 END, 0.0) AS precision_at_10, coalesce(h5 / n, 0.0) AS recall_at_5, coalesce(h10 / n, 0.0) AS recall_at_10,
@@ -418,11 +438,11 @@ report AS (SELECT a.query_id, coalesce(CASE WHEN n > 0 THEN h5 / 5.0 END, 0.0) A
 """
 
 
-def _report(spark, sf_dir, mode="bm25", whole=False):
-    asked = _asked(spark, sf_dir, whole)
+def _report(spark, sf_dir, mode="bm25"):
+    asked = _asked(spark, sf_dir)
     judged = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", (F.col("doc_id") % 40).alias("k"))
     relevant = asked.select("query_id", (F.col("query_id") % 40).alias("k")).join(judged, "k").select("query_id", "doc_id")
-    return E.evaluate(_batch(spark, sf_dir, mode, whole), relevant, asked)
+    return E.evaluate(_batch(spark, sf_dir, mode), relevant, asked)
 
 
 def _rounded(df, *keep):
@@ -442,32 +462,17 @@ def rr_ap_per_query(spark, sf_dir):
     return _rounded(_report(spark, sf_dir).select("query_id", "reciprocal_rank", "average_precision"), "query_id")
 
 
-@registered(_metrics_sql(_BM25, _ASKED_WHOLE) + "SELECT query_id, " + _R6("precision_at_5", "precision_at_10", "recall_at_5", "recall_at_10") + " FROM report")
-def precision_recall_at_k_whole(spark, sf_dir):
-    return _rounded(_report(spark, sf_dir, whole=True).drop("reciprocal_rank", "average_precision"), "query_id")
-
-
-@registered(_metrics_sql(_BM25, _ASKED_WHOLE) + "SELECT query_id, " + _R6("reciprocal_rank", "average_precision") + " FROM report")
-def rr_ap_per_query_whole(spark, sf_dir):
-    return _rounded(_report(spark, sf_dir, whole=True).select("query_id", "reciprocal_rank", "average_precision"), "query_id")
-
-
-def _means(mode: str, value: str, asked: str = _ASKED) -> str:
+def _means(mode: str, value: str) -> str:
     cols = ", ".join(f"round(CAST(avg({c}) AS DOUBLE), 6) AS {n}" for c, n in (("precision_at_5",) * 2, ("precision_at_10",) * 2, ("recall_at_5",) * 2, ("recall_at_10",) * 2, ("reciprocal_rank",) * 2, ("average_precision",) * 2, ("reciprocal_rank", "mrr"), ("average_precision", "map")))
-    return f"SELECT * FROM ({PRELUDE + _metrics_sql(value, asked)} SELECT '{mode}' AS mode, {cols} FROM report)"
+    return f"SELECT * FROM ({PRELUDE + _metrics_sql(value)} SELECT '{mode}' AS mode, {cols} FROM report)"
 
 
 @registered("WITH both_modes AS (" + _means("bm25", _BM25) + " UNION ALL " + _means("tfidf", "tf * greatest(0, log10(total / df))") + ") SELECT * FROM both_modes")
-def metrics_by_mode(spark, sf_dir, whole=False):
-    reports = [_report(spark, sf_dir, m, whole).withColumn("mode", F.lit(m)) for m in ("bm25", "tfidf")]
+def metrics_by_mode(spark, sf_dir):
+    reports = [_report(spark, sf_dir, m).withColumn("mode", F.lit(m)) for m in ("bm25", "tfidf")]
     return _rounded(E.aggregate_metrics(reports[0].unionByName(reports[1]), "mode"), "mode")
 
 
-@registered("WITH both_modes AS (" + _means("bm25", _BM25, _ASKED_WHOLE) + " UNION ALL " + _means("tfidf", "tf * greatest(0, log10(total / df))", _ASKED_WHOLE) + ") SELECT * FROM both_modes")
-def metrics_by_mode_whole(spark, sf_dir):
-    return metrics_by_mode(spark, sf_dir, whole=True)
-
-
 # --- pages, links, records -------------------------------------------------------------------------------------------
 
 _URL = r"""WITH parts AS (SELECT page_id, url, regexp_extract(trim(url), '^([^:/?#]+)://([^/?#]*)([^?#]*)(\?[^#]*)?', ['scheme', 'host', 'path', 'query']) AS p FROM pages),
@@ -498,13 +503,36 @@ def page_links(spark, sf_dir):
     return C.parse_pages(table(spark, sf_dir, "pages")).select("page_id", F.size("links").alias("n_links"))
 
 
-@registered()
+#: Visible text by regular expressions, for pages whose head is closed: section breaks at block elements, comments and tags dropped, entities decoded.
+_VISIBLE = (
+    r"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>', '', 'g'), '(?s)<!--.*?-->|<!DOCTYPE[^>]*>', '', 'gi') AS h FROM pages),
+blocks AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?(?:BLOCKS)\b[^>]*>', chr(1), 'g'), '<[^>]*>', '', 'g') AS t FROM bare),
+decoded AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM blocks),
+flat AS (SELECT page_id, trim(regexp_replace(regexp_replace(t, '[\s\x01]*\x01[\s\x01]*', chr(1), 'g'), '\s+', ' ', 'g'), ' ' || chr(1)) AS t FROM decoded),
+segments AS (SELECT page_id, t, list_filter(list_transform(string_split(t, chr(1)), lambda s: list_filter(list_transform(regexp_extract_all(s, '[a-zA-Z0-9]+'), lambda w: lower(w)), lambda w: w NOT IN (STOP))), lambda ws: len(ws) > 0) AS ss FROM flat)
+SELECT page_id, md5(replace(t, chr(1), ' | ')) AS text_md5, CAST(len(ss) AS INT) AS n_segments, CAST(len(flatten(ss)) AS INT) AS n_tokens FROM segments"""
+).replace("BLOCKS", "|".join(BLOCK_TAGS)).replace("STOP", _quoted(CRAWL_STOPWORDS))
+
+
+@registered(_VISIBLE)
 def html_text(spark, sf_dir):
     rows = C.parse_pages(table(spark, sf_dir, "pages"))
-    return rows.select("page_id", F.md5("text").alias("text_md5"), F.size("token_segments").alias("n_segments"), F.size("tokens").alias("n_tokens"))
+    return rows.select("page_id", F.md5(F.replace("text", F.lit(SECTION_BREAK), F.lit(" | "))).alias("text_md5"), F.size("token_segments").alias("n_segments"), F.size("tokens").alias("n_tokens"))
 
 
-@registered()
+#: Links of pages whose hrefs are absolute paths or whole URLs, normalised like the pages' own.
+_LINKS = (
+    _URL
+    + r""", hrefs AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]+)"', 1) AS hs FROM pages),
+raw_links AS (SELECT u.normal AS src, u.normal LIKE 'https:%' AS safe, u.host, CAST(unnest(range(len(hs))) AS INT) AS link_ord, replace(unnest(hs), '&amp;', '&') AS h FROM hrefs JOIN urls u USING (page_id) WHERE u.normal IS NOT NULL),
+absolute AS (SELECT src, link_ord, CASE WHEN h LIKE '/%' THEN CASE WHEN safe THEN 'https://' ELSE 'http://' END || host || h ELSE h END AS h FROM raw_links),
+parsed_links AS (SELECT src, link_ord, regexp_extract(trim(h), '^([^:/?#]+)://([^/?#]*)([^?#]*)(\?[^#]*)?', ['scheme', 'host', 'path', 'query']) AS p FROM absolute),
+links AS (SELECT src, lower(p.scheme) || '://' || lower(p.host) || CASE WHEN rtrim(trim(p.path), '/') = '' THEN '/' ELSE rtrim(trim(p.path), '/') END || p.query AS dst, link_ord FROM parsed_links WHERE lower(p.scheme) IN ('http', 'https'))
+"""
+)
+
+
+@registered(_LINKS + "SELECT src, dst, link_ord FROM links")
 def link_graph(spark, sf_dir):
     return C.link_graph(table(spark, sf_dir, "pages"))
 
@@ -513,7 +541,19 @@ def link_graph(spark, sf_dir):
 def bfs_crawl(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     seeds = [r.url for r in pages.orderBy("page_id").select("url").limit(5).collect()]  # a crawl starts somewhere
-    return C.crawl(pages, seeds, max_pages=50, max_depth=3, max_links=3).select("doc_id", "url", "title", "depth", F.size("tokens").alias("n_tokens"))
+    return C.crawl(pages, seeds, max_pages=500, max_depth=5, max_links=3).select("doc_id", "url", "title", "depth", F.size("tokens").alias("n_tokens"))
+
+
+@registered(
+    _LINKS.replace("WITH parts", "WITH RECURSIVE parts", 1)
+    + ", reach AS (SELECT min(normal) AS url, 0 AS depth FROM urls WHERE normal IS NOT NULL GROUP BY host UNION SELECT l.dst, r.depth + 1 FROM reach r JOIN links l ON l.src = r.url JOIN urls u ON u.normal = l.dst WHERE r.depth < 5) "
+    + "SELECT url, CAST(min(depth) AS INT) AS depth FROM reach GROUP BY url"
+)
+def bfs_reach(spark, sf_dir):
+    """Depth of all pages that up to five links lead to, from the first page of every host."""
+    pages = table(spark, sf_dir, "pages")
+    urls = pages.select(U.normalise_url(F.col("url")).alias("url")).where("url is not null")
+    return C.reachable(pages, urls.groupBy(U.host_of(F.col("url")).alias("host")).agg(F.min("url").alias("url")), max_depth=5)
 
 
 @registered("SELECT doc_id, md5(text) AS text_md5 FROM docs")

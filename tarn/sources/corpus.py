@@ -118,6 +118,24 @@ def synthetic_corpus(spark: SparkSession, seed: int = 7, topics: int = 10, subto
     return spark.createDataFrame(docs, "doc_id long, title string, url string, text string"), spark.createDataFrame(queries, "query_id long, query string, relevant_docs array<long>")
 
 
+class BackendError(ValueError):
+    """A backend gave no usable documents."""
+
+
+def checked(docs: object) -> DataFrame:
+    """A backend's documents as (doc_id long, title, url, text): the columns must be there and convertible, missing title and url are empty.
+    Rows whose doc_id is no number are an error when they are read."""
+    if not isinstance(docs, DataFrame):
+        raise BackendError(f"a DataFrame is needed, not {type(docs).__name__}")
+    if missing := {"doc_id", "text"} - set(docs.columns):
+        raise BackendError(f"columns are missing: {', '.join(sorted(missing))}")
+    for name in ("doc_id", "title", "url", "text"):
+        if name in docs.columns and isinstance(docs.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
+            raise BackendError(f"column {name} is of type {docs.schema[name].dataType.simpleString()}")
+    text = lambda c: (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")).alias(c)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text("title"), text("url"), text("text"))
+
+
 def load_backend(name: str):
     """An object, or what a factory of that name makes: ``module`` (its ``create_backend``) or ``module:attribute``."""
     module, _, attribute = name.partition(":")
@@ -129,7 +147,10 @@ def corpus_from(spark: SparkSession, backend: str | None = None, corpus: str | N
     """Documents by precedence: a backend, a corpus file, the synthetic corpus; names fall back to TARN_BACKEND and TARN_CORPUS."""
     backend, corpus = backend or os.environ.get("TARN_BACKEND"), corpus or os.environ.get("TARN_CORPUS")
     if backend:
-        return load_backend(backend)
+        try:
+            return checked(load_backend(backend))
+        except (ImportError, AttributeError) as e:
+            raise BackendError(f"backend {backend!r}: {e}") from e
     return read_documents(spark, corpus) if corpus else synthetic_corpus(spark)[0]
 
 

@@ -41,12 +41,11 @@ def brute(docs, asked, mode):
 def test_whole_texts_are_ranked(spark, data, mode):
     folder, docs, asked = data
     want = brute(docs, asked, mode)
-    got = registry.QUERIES[f"batch_{mode}_topk_whole"](spark, folder).collect()
+    got = registry.QUERIES[f"batch_{mode}_topk"](spark, folder).collect()
     assert len(got) == sum(map(len, want.values())) == 50
     for r in got:
         score, doc = want[r.query_id][r.rank - 1]
         assert r.doc_id == doc and r.score == pytest.approx(score, abs=2e-6)
-    assert registry.QUERIES[f"batch_{mode}_topk"](spark, folder).count() == 0  # the six words alone match nothing
 
 
 def test_metrics_of_whole_texts(spark, data):
@@ -58,10 +57,10 @@ def test_metrics_of_whole_texts(spark, data):
         at = [k for k, (_, i) in enumerate(found, 1) if i in relevant[q]]
         rr[q] = 1 / at[0] if at else 0.0
         ap[q] = sum(j / k for j, k in enumerate(at, 1)) / len(relevant[q]) if relevant[q] else 0.0
-    got = {r.query_id: r for r in registry.QUERIES["rr_ap_per_query_whole"](spark, folder).collect()}
+    got = {r.query_id: r for r in registry.QUERIES["rr_ap_per_query"](spark, folder).collect()}
     assert {q: (pytest.approx(rr[q], abs=2e-6), pytest.approx(ap[q], abs=2e-6)) for q in rr} == {q: (r.reciprocal_rank, r.average_precision) for q, r in got.items()}
-    for r in registry.QUERIES["precision_recall_at_k_whole"](spark, folder).collect():
+    for r in registry.QUERIES["precision_recall_at_k"](spark, folder).collect():
         hits = sum(i in relevant[r.query_id] for _, i in top[r.query_id])
         assert r.precision_at_10 == pytest.approx(hits / 10) and r.recall_at_10 == pytest.approx(hits / len(relevant[r.query_id]) if relevant[r.query_id] else 0.0)
-    means = {r["mode"]: r for r in registry.QUERIES["metrics_by_mode_whole"](spark, folder).collect()}
+    means = {r["mode"]: r for r in registry.QUERIES["metrics_by_mode"](spark, folder).collect()}
     assert means["bm25"].mrr == pytest.approx(sum(rr.values()) / 5, abs=2e-6) and set(means) == {"bm25", "tfidf"}

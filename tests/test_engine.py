@@ -2,11 +2,19 @@ import json
 import threading
 
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+from tarn.functions.sql import register_functions
+from tarn.functions.text import lemma_of
 from tarn.functions.words import STOPWORD_NOTICE
+from tarn.operators import ranking, simple
 from tarn.operators.index import build_index
+from tarn.operators.query import query_terms
+from tarn.plans import catalog, measure
 from tarn.plans.cache import CacheManager, LRUCache, SQLiteCache, cache_key
-from tarn.plans.engine import SearchEngine
-from tarn.plans.sessions import SessionManager
+from tarn.plans.engine import Feedback, SearchEngine
+from tarn.sources import corpus
+from tarn.tables import shared_dir
 from tarn.web import answer, marked
 
 DOCS = [
@@ -53,9 +61,9 @@ def test_mmr_and_strict(engine):
 
 
 def test_feedback(engine):
-    session = engine.sessions.create_session()
+    session = engine.open_session()
     plain = engine.search("learning OR networks", session).rows
-    assert engine.mark_relevant(session, 3) and not engine.mark_relevant(session, 77) and engine.sessions.has_feedback(session)
+    assert engine.mark_relevant(session, 3) and not engine.mark_relevant(session, 77) and engine.feedback_of(session).boosts
     entries = len(engine.cache)
     personal = engine.search("learning OR networks", session).rows
     assert personal[0]["doc_id"] == 3 and {r["doc_id"] for r in personal} == {r["doc_id"] for r in plain} and len(engine.cache) == entries
@@ -106,13 +114,112 @@ def test_durable_cache(tmp_path):
     assert cache_key("a OR b", "x", 1, False, "v") != cache_key("a or b", "x", 1, False, "v")
 
 
-def test_sessions():
-    s = SessionManager()
-    one = s.create_session()
-    s.add_relevant_document(one, 4)
-    s.set_term_boosts(one, {"a": 1.0, "b": -1.0})
-    assert s.get_term_boosts(one) == {"a": 1.0} and s.get_or_create(one).relevant_doc_ids == {4} and s.has_feedback(one) and len(s) == 1
-    s.clear_feedback(one)
-    assert not s.has_feedback(one) and s.end_session(one) and not s.end_session(one)
-    with pytest.raises(ValueError):
-        s.get_or_create("")
+def test_feedback_of_sessions(engine):
+    one, other = engine.open_session(), engine.open_session()
+    assert engine.feedback_of(one) == engine.feedback_of("unknown") == engine.feedback_of(None) == Feedback()
+    assert engine.mark_relevant(one, 3) and engine.mark_relevant(one, 5)
+    assert engine.feedback_of(one).marked == {3, 5} and all(b > 0 for b in engine.feedback_of(one).boosts.values()) and not engine.feedback_of(other).marked
+    engine.reset_feedback(one)
+    engine.reset_feedback("never seen")
+    assert engine.feedback_of(one) == Feedback() and engine.close_session(one) and not engine.close_session(one)
+
+
+def test_parts_can_be_replaced(index):
+    kept, asked = {}, []
+
+    def score(index, found, terms, mode, **options):
+        asked.append(mode)
+        return found.select("query_id", "doc_id", F.col("doc_id").cast("double").alias("score"))
+
+    engine = SearchEngine(index, feedback=kept, score=score, rerank=lambda pool, docs, query, k, trade_off: pool.orderBy("doc_id").limit(k), make_result=lambda row: row["doc_id"])
+    assert list(engine.search("learning OR networks")) == [5, 3, 1, 0] and list(engine.search("learning OR networks")) == [5, 3, 1, 0] and asked == ["bm25"]
+    assert sorted(engine.search("learning OR networks", k=2, use_mmr=True)) == [0, 1]
+    assert engine.open_session() in kept and engine.document_frequency("machine") == 2 and engine.document_frequency("none") == 0
+
+
+def test_index_questions(index):
+    assert index.has_term("machine") and not index.has_term("zebra") and index.has_document(4) and not index.has_document(77)
+    listed = index.dump(5).collect()
+    assert [(r.term, r.doc_id) for r in listed] == sorted((r.term, r.doc_id) for r in listed) and len(listed) == 5
+    terms = query_terms(index, "machine")
+    whole = {r.doc_id: r.score for r in ranking.score(index, index.doc_stats.selectExpr("0L query_id", "doc_id"), terms.selectExpr("0L query_id", "*")).collect()}
+    for doc in (0, 1, 4, 77):
+        assert ranking.score_document(index, doc, terms) == pytest.approx(whole.get(doc, 0.0))
+
+
+def test_saved_index_is_built_once_for_the_same_files(spark, tmp_path):
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(1, "red fox")], "doc_id long, text string").write.parquet(path)
+    first = catalog.index_of(spark, path)
+    assert catalog.index_of(spark, path).documents.inputFiles() == first.documents.inputFiles()
+    spark.createDataFrame([(2, "blue fox")], "doc_id long, text string").write.mode("append").parquet(path)
+    assert catalog.index_of(spark, path).stats.first().total_docs == 2
+
+
+def test_measurement(spark, index, tmp_path):
+    make = lambda path: SearchEngine(index, cache_path=path)
+    m = measure.Measurement(make, [("machine learning", {0, 1}), ("pasta", {4})], repeats=1, sessions=2, k=5)
+    rows = m.run(("bm25", "tfidf"))
+    assert [r["mode"] for r in rows] == ["bm25", "tfidf"]
+    for r in rows:
+        assert r["mrr"] == 1 and r["map"] == 1 and r["recall_at_5"] == 1 and r["restart_from_disk"] == 2 and r["together_inconsistent"] == 0 and r["together_requests"] == 4 and r["hit_mean"] < r["miss_mean"]
+    measure.save_report(rows, f"{tmp_path}/r.json", f"{tmp_path}/r.txt")
+    with open(f"{tmp_path}/r.json", encoding="utf-8") as f:
+        assert json.load(f) == rows
+    with open(f"{tmp_path}/r.txt", encoding="utf-8") as f:
+        assert f.read().startswith("mode")
+    asked = spark.createDataFrame([(0, "machine learning"), (1, "pasta"), (2, "zebra")], "query_id long, query string")
+    judged = spark.createDataFrame([(0, 0), (0, 1), (1, 4), (2, 4)], "query_id long, doc_id long")
+    means = {r["mode"]: r for r in measure.compare_modes(index, asked, judged).collect()}
+    assert set(means) == {"tfidf", "bm25", "vector"} and all(r.mrr == 1 for r in means.values())
+    assert measure.best_against_sort(spark, 1000, 5, 1)["k"] == 5
+
+
+def test_simple_grammar(spark):
+    docs = spark.createDataFrame([(1, "red fox", "old"), (2, "red dog", ""), (3, "the cat", "foxes"), (4, None, None)], "doc_id long, text string, title string")
+    terms = simple.simple_terms(docs)
+    found = lambda q: sorted(r.doc_id for r in simple.simple_matches(terms, q).collect())
+    assert found("red") == [1, 2] and found("red and fox") == [1] and found("red not fox") == [2] and found("dog cat") == [2, 3] and found("fox*") == [1, 3] and found("NOT red") == [1, 2]
+    assert found("red and the fox") == [1] and found("cat red") == [1, 2, 3] and found("the of") == [] == found("*") and found("old") == [1]
+    rows, df = simple.simple_candidates(terms, "red fox*")
+    assert {(r.doc_id, r.term, r.tf) for r in rows.collect()} == {(1, "red", 1), (1, "fox", 1), (2, "red", 1), (3, None, None)} and {(r.term, r.df) for r in df.collect()} == {("red", 2), ("fox", 1)}
+    assert [r.doc_id for r in simple.simple_candidates(terms, "the of")[0].collect()] == [1, 2, 3]
+
+
+def test_sql_functions(spark):
+    register_functions(spark)
+    for word in ("was", "children", "stories", "running", "hopped", "boxes", "dogs", "glass", "thing*", "sing", "ab"):
+        assert spark.sql(f"SELECT tarn_lemma('{word}')").first()[0] == lemma_of(word), word
+    one = spark.range(1)
+    cols = [F.lit(float(v)) for v in (3, 7, 100, 40, 55)]
+    want = one.select(ranking.bm25(cols[0], cols[1], cols[2], cols[3], cols[4]), ranking.tfidf(*cols[:3])).first()
+    got = spark.sql("SELECT tarn_bm25(3, 7, 100, 40, 55), tarn_tfidf(3, 7, 100), tarn_tokens('The Red*fox'), tarn_is_stopword('THE')").first()
+    assert got[0] == pytest.approx(want[0]) and got[1] == pytest.approx(want[1]) and got[2] == ["the", "red*fox"] and got[3]
+
+
+def test_checked_backends(spark, monkeypatch):
+    docs = spark.createDataFrame([("5", "a", None)], "doc_id string, text string, title string")
+    assert corpus.checked(docs).collect() == [Row(doc_id=5, title="", url="", text="a")]
+    for bad in (None, docs.drop("text"), docs.withColumn("text", F.array("text"))):
+        with pytest.raises(corpus.BackendError):
+            corpus.checked(bad)
+    with pytest.raises(corpus.BackendError):
+        corpus.corpus_from(spark, backend="no_such_module_here")
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())

@@ -89,3 +89,36 @@ def test_page_parts():
     page = "<html><head><title> A \n title </title></head><body><a href='/x'>x</a><a href=''>e</a><a>n</a><a href='http://c.d/#f'>y</a></body></html>"
     assert parse_page(page, "http://a.b/dir/") == ("A title", "xeny", ["http://a.b/x", "http://c.d/#f"])
     assert parse_page(None, "x") == ("", "", []) and parse_page("", None) == ("", "", [])
+
+
+def plain_snippet(text, terms, width=180):
+    """The rule of the terminal's snippets, character by character."""
+    if len(text) <= width:
+        return text
+    places = [p for p in (text.lower().find(t) for t in terms) if p >= 0]
+    start = max(0, min(places, default=0) - 80)
+    if start > 0 and 0 <= (space := text.find(" ", start)) < start + 20:
+        start = space + 1
+    end = min(len(text), start + width)
+    if end < len(text) and (space := text.rfind(" ", 0, end + 1)) > end - 20:
+        end = space
+    return ("…" if start else "") + text[start:end] + ("…" if end < len(text) else "")
+
+
+def test_relevant_snippet(spark):
+    import random
+
+    rnd = random.Random(2)
+    texts = ["", "short", "x" * 400] + ["".join(rnd.choices(["ab", "cde", " ", "  ", "fox", "longerword" * 3], k=rnd.randrange(20, 200))) for _ in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for terms in (["fox"], ["zzz", "cde"], ["none"], []):
+        got = {r.i: r.s for r in rows.select("i", T.relevant_snippet(F.col("text"), terms).alias("s")).collect()}
+        assert all(got[i] == plain_snippet(t, terms) for i, t in enumerate(texts)), terms
+
+
+def test_wrapped_and_now(spark):
+    assert T.wrapped("") == "" and T.wrapped("a b", 80) == "a b"
+    text = "word " * 60
+    lines = T.wrapped(text.strip(), 40).split("\n")
+    assert all(len(x) <= 40 for x in lines) and " ".join(x.strip() for x in lines).split() == text.split() and T.wrapped("x" * 100, 40).split("\n") == ["x" * 40, "x" * 40, "x" * 20]
+    assert __import__("re").fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", spark.range(1).select(T.now_iso()).first()[0])
