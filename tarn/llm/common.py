@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,57 +9,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tarn.tables import clear_tables, materialise, shared_dir, table_path  # noqa: F401  for the operators
+
 #: Bytes of text that the vectorised passes work on at once; a longer text is a piece of its own.
 CHUNK_BYTES = 1 << 19
-#: Rows in an Arrow batch.
-ARROW_ROWS = 1024
+#: Rows and bytes in an Arrow batch.
+ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, or the context's checkpoint folder. Where neither is set, a local session (tests)
-    takes a temporary folder; on a cluster that is an error, since executors would each write to a disk of their own."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if found := spark.sparkContext.getCheckpointDir():
-        return found
-    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    found = f"file://{tempfile.gettempdir()}/tarn-checkpoints"
-    spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def table_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, under this application's tables."""
-    return f"{shared_dir(spark)}/tarn-tables/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    The tables stay under <shared folder>/tarn-tables/<application id>; ``clear_tables`` removes them.
-    """
-    spark = df.sparkSession
-    path = table_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_tables(spark: SparkSession) -> None:
-    """Remove the tables that ``materialise`` wrote in this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tarn-tables/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` in batches of ARROW_ROWS rows at most (a setting of the session), as texts can be long."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
-        conf.set(name, str(ARROW_ROWS))
+    """``mapInArrow`` in batches of ARROW_ROWS rows and about ARROW_BYTES at most, as texts can be long. The bounds are settings of the session,
+    lowered where they are higher."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = conf.get(name).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
     return df.mapInArrow(function, schema)
 
 

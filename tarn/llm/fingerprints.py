@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches_of, map_arrow, table
@@ -25,7 +25,7 @@ WIDTH = 5
 #: Bands of the match join: a pair at 0.8 is missed with probability 4e-8.
 BANDS = 32
 #: Ranges of document ids that ``with_next`` streams; their first rows are held by the driver.
-MOST_RANGES = 10_000
+MOST_RANGES = 40_000
 RANGE_ROWS = 2000
 
 
@@ -45,26 +45,48 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
+def _even_cells(docs: DataFrame, rows: int) -> tuple[Column, dict[int, int]]:
+    """A number for each row's cell, ascending as doc_id falls, and the rows of each cell: cells of more than ``rows`` rows are cut into cells
+    of equal width between their own first and last id, again and again, so that far-off ids don't matter. Null ids have a cell at the end."""
+    falling = -F.col("doc_id").cast("double")
+    cell, sizes = F.when(F.col("doc_id").isNotNull(), F.lit(0)), {}
+    for _ in range(12):
+        found = {r["cell"]: r for r in docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min(falling).alias("low"), F.max(falling).alias("high")).collect()}
+        missing = found.pop(None, None)
+        sizes = {c: r["n"] for c, r in found.items()}
+        heavy = {c for c, r in found.items() if r["n"] > rows and r["low"] < r["high"]}
+        if not heavy:
+            break
+        cuts, at = [], 0
+        for c in range(max(found) + 1):
+            parts = 4 * -(-sizes[c] // rows) if c in heavy else 1
+            cuts.append({"at": at, "low": found[c]["low"] if c in heavy else 0.0, "step": parts / (found[c]["high"] - found[c]["low"]) if c in heavy else 0.0, "last": parts - 1})
+            at += parts
+        table = F.from_json(F.lit(json.dumps(cuts)), "array<struct<at:int,low:double,step:double,last:int>>")
+        own = lambda name, table=table, cell=cell: F.element_at(table, cell + 1)[name]
+        cell = (own("at") + F.least(own("last"), F.floor((falling - own("low")) * own("step")))).cast("int")
+    end = max(sizes, default=-1) + 1
+    if missing is not None:
+        sizes[end] = missing["n"]
+    return F.coalesce(cell, F.lit(end)), sizes
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) sorted by descending doc_id within ``range``, each range followed by a row with
     ``after`` = 1: the first of the next range, and of the first range after the last.
 
-    Rows with the same doc_id follow by a hash of their text, rows without an id come last. Ranges are cut from a
-    histogram of the ids, so they hold about as many rows each, unless one id has more; a range is streamed.
+    Rows with the same doc_id follow by a hash of their text, rows without an id come last. Ranges hold about as many rows
+    each, whatever the ids, unless one id has more; a range is streamed.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high, total = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if low is None or low == high:
-        low, high = low or 0, (low or 0) + 1
+    total = docs.count()
     ranges = max(1, min(MOST_RANGES, total // RANGE_ROWS))
-    cells = 8 * ranges
-    cell = F.coalesce(F.width_bucket(-F.col("doc_id").cast("double"), F.lit(-float(high)), F.lit(-float(low)), F.lit(cells)).cast("int"), F.lit(cells + 1))
-    counts = {r["cell"]: r["count"] for r in docs.select(cell.alias("cell")).groupBy("cell").count().collect()}
+    cell, sizes = _even_cells(docs, max(1, -(-total // (4 * ranges))))
     to, seen = [], 0
-    for k in range(cells + 2):
+    for k in range(max(sizes, default=0) + 1):
         to.append(min(ranges - 1, seen * ranges // max(1, total)))
-        seen += counts.get(k, 0)
+        seen += sizes.get(k, 0)
     numbers = F.from_json(F.lit(json.dumps(to)), "array<int>")
     placed = docs.withColumns({"range": F.element_at(numbers, cell + 1), "tie": F.xxhash64("text")})
     firsts = placed.groupBy("range").agg(F.max(F.struct(F.coalesce(F.col("doc_id").isNotNull(), F.lit(False)).alias("named"), "doc_id", "tie")).alias("f")).collect()
@@ -157,3 +179,23 @@ def near_matches(queries: DataFrame, docs: DataFrame, similarity: float = 0.8) -
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def fingerprint_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are similar to those whose id is divisible by 100: bands of fingerprints joined, Jaccard on whole texts."""
+    docs = table(spark, sf_dir, "documents")
+    return near_matches(docs.where("doc_id % 100 = 0"), docs).select("query_id", "doc_id", F.round("jaccard", 6).alias("jaccard"))
+
+
+MATCHES_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM words WHERE len(w) > 0
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets
+)
+SELECT q.doc_id AS query_id, d.doc_id, round(count(*) / (q.n + d.n - count(*)), 6) AS jaccard
+FROM items q JOIN items d ON q.item = d.item AND q.doc_id % 100 = 0 AND q.doc_id <> d.doc_id
+GROUP BY q.doc_id, d.doc_id, q.n, d.n HAVING count(*) >= 0.8 * (q.n + d.n - count(*))
+"""

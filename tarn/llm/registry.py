@@ -9,6 +9,7 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
     "op9_sentencepiece": sentencepiece_io.op9_sentencepiece,
     "op3_fingerprints": fingerprints.op3_fingerprints,
+    "fingerprint_matches": fingerprints.fingerprint_matches,
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op4_packing": packing.op4_packing,
     "op2_chat": chat.op2_chat,
@@ -20,5 +21,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_near_dedup": near_dedup.OP1_SQL,
     "op2_chat": chat.OP2_SQL,
+    "fingerprint_matches": fingerprints.MATCHES_SQL,
     "op5_quality": quality.OP5_SQL,
 }

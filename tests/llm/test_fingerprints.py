@@ -41,6 +41,18 @@ def test_edited_texts_and_likeness(spark, tmp_path, monkeypatch, seed, range_row
     assert max(map(abs, errors)) < 0.25 and abs(np.mean(errors)) < 0.01
 
 
+def test_ranges_are_even_whatever_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_ROWS", 10)
+    ids = [*range(500), *(10**9 + 7 * k for k in range(300)), 2**62, -(2**40), None, None, *[42] * 30]
+    rows = fp.with_next(spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.range] = sizes.get(r.range, 0) + 1 - r.after
+    assert sum(sizes.values()) == len(ids) and len(sizes) > 50 and max(sizes.values()) <= 31 + 20
+    order = [r.doc_id for k in sorted(sizes) for r in rows if r.range == k and not r.after]
+    assert order == sorted((i for i in ids if i is not None), reverse=True) + [None, None]
+
+
 def test_ties_nulls_lone_and_empty(spark):
     df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
     assert fp.compare_with_edits(df([])).collect() == []
