@@ -136,9 +136,15 @@ def format_turns(turns: DataFrame, template: ChatTemplate | None = None) -> Data
 _DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, n_errors long"
 
 
-def read_back(formatted: DataFrame, template: ChatTemplate | None = None) -> DataFrame:
-    """Digests of every conversation in a result of ``format_turns``, from its segments' texts and loss flags alone."""
+def read_back(formatted: DataFrame, template: ChatTemplate | None = None, in_order: bool = False) -> DataFrame:
+    """Digests of every conversation in a result of ``format_turns``, from its segments' texts and loss flags alone.
+
+    ``in_order`` says that conversations stand together and their turns in order, as in a result of ``format_turns`` itself; one that was
+    written and read again is dealt and sorted first. A turn out of place is an error.
+    """
     t = template or ChatTemplate()
+    formatted = formatted.select("conv_id", "seq", "segments", "state", "error")
+    formatted = formatted if in_order else formatted.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +165,13 @@ def read_back(formatted: DataFrame, template: ChatTemplate | None = None) -> Dat
 
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for conv, segments, at, error in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for conv, seq, segments, at, error in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if now is nobody or conv != now:
                     close()
                     now, n, chars, loss_chars, errors, state = conv, 0, 0, 0, 0, t.start
                     turns, loss = hashlib.sha256(), hashlib.sha256()
+                if seq != n:
+                    raise ValueError(f"turn {seq} of conversation {conv} stands where turn {n} is due")
                 text = "".join(s["text"] for s in segments)
                 role, said, end = t.read_turn(text)
                 if end != len(text):
@@ -177,7 +185,7 @@ def read_back(formatted: DataFrame, template: ChatTemplate | None = None) -> Dat
             close()
             yield flush(key_type)
 
-    return map_arrow(formatted.select("conv_id", "segments", "state", "error"), run, f"conv_id {kind}, {_DIGEST}")
+    return map_arrow(formatted, run, f"conv_id {kind}, {_DIGEST}")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +194,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
-    return read_back(format_turns(turns)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return read_back(format_turns(turns), in_order=True).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def _escaped_length(x: str) -> str:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.errors import PythonException
 from tarn.llm.chat import ChatTemplate, format_turns, op2_chat, read_back
 
 SCHEMA = "conv_id long, turn long, role string, text string, state string"
@@ -53,6 +54,17 @@ def test_only_assistant_texts_carry_loss(spark):
     assert [[(s.text, s.loss) for s in r.segments] for r in got] == [[("### User: ", False), ("u", False), ("</turn>\n", False)], [("### Assistant: ", False), ("a", True), ("</turn>\n", False)]]
 
 
+def test_a_formatted_table_that_was_written_is_read_back_whole(spark, tmp_path):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}") for c in range(30) for t in range(8)]
+    formatted = format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = sorted(map(tuple, read_back(formatted, in_order=True).collect()))
+    formatted.repartition(7).write.parquet(f"{tmp_path}/formatted")
+    again = spark.read.parquet(f"{tmp_path}/formatted")
+    assert sorted(map(tuple, read_back(again).collect())) == want and len(want) == 30
+    with pytest.raises(PythonException, match="is due"):
+        read_back(again.orderBy("seq"), in_order=True).collect()
+
+
 def test_empty_table(spark):
     assert read_back(format_turns(spark.createDataFrame([], SCHEMA))).collect() == []
 
