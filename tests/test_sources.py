@@ -158,3 +158,24 @@ def test_prompt(spark):
 
 def test_index_type(spark):
     assert isinstance(build_index(spark.createDataFrame([(1, "x")], "doc_id long, text string")), Index)
+
+
+def test_crawl_command(spark, tmp_path):
+    from tarn import crawl_cli
+
+    (tmp_path / "seeds.txt").write_text("# start\nhttp://a.b/1\n")
+    (tmp_path / "none.txt").write_text("# nothing\n")
+    pages = spark.createDataFrame([(1, "http://a.b/1", '<title>One</title><body><a href="/2">two</a> red fox</body>'), (2, "http://a.b/2", "<title>Two</title><body>blue</body>")], "page_id long, url string, html string")
+    run = lambda *more: crawl_cli.main(["--seeds", f"{tmp_path}/seeds.txt", "--corpus", f"{tmp_path}/corpus", "--log", f"{tmp_path}/log", *more], C.from_table(pages))
+    assert run() == 0 and run("--clear-corpus", "--max-depth", "0") == 0 and crawl_cli.main(["--seeds", f"{tmp_path}/none.txt", "--corpus", "x"]) == 1
+    docs = S.read_documents(spark, f"{tmp_path}/corpus").collect()
+    assert [(d.doc_id, d.title, d.url, d.meta.depth) for d in docs] == [(1, "One", "http://a.b/1", 0)] and "fox" in docs[0].text
+
+
+def test_reachable_pages(spark):
+    html = lambda *links: "<body>" + "".join(f'<a href="{x}">x</a>' for x in links) + "</body>"
+    pages = spark.createDataFrame([(1, "http://a.b/1", html("/2", "/3")), (2, "http://a.b/2", html("/1", "/4")), (3, "http://a.b/3", html("/4")), (4, "http://a.b/4", html("/5", "/gone")), (5, "http://a.b/5", None), (6, "http://c.d/", html())], "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("http://a.b/1",), ("http://no.where/",)], "url string")
+    assert {(r.url, r.depth) for r in C.reachable(pages, seeds).collect()} == {("http://a.b/1", 0), ("http://a.b/2", 1), ("http://a.b/3", 1), ("http://a.b/4", 2)}
+    assert {r.url for r in C.reachable(pages, seeds, max_depth=1).collect()} == {f"http://a.b/{k}" for k in (1, 2, 3)}
+    assert C.reachable(pages, seeds.where("false")).collect() == []
