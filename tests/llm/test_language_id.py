@@ -63,3 +63,37 @@ def test_training_sample_is_bounded(spark):
     finally:
         li.fit = fit
     assert 200 < counts[0] < 400
+
+
+def plain_prediction(text, model):
+    """Features, bit margins and loss-weighted decoding with plain loops."""
+    import math
+
+    raw = [c + 32 if 65 <= c <= 90 else c for c in text.encode()]
+    raw = [32 if c < 32 or 48 <= c <= 57 or chr(c) in "!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~" else c for c in raw]
+    folded = [32, *(c for k, c in enumerate(raw) if k == 0 or c != 32 or raw[k - 1] != 32), 32]
+    counts = [0] * li.FEATURES
+    for n in range(1, 5):
+        for at in range(len(folded) - n + 1):
+            code = folded[at] + 1
+            for c in folded[at + 1 : at + n]:
+                code = (code * 257 + c) % 2**32
+            counts[(code * 2654435761) % 2**32 >> 20] += 1
+    size = math.sqrt(sum(counts))
+    used = [(k, math.sqrt(c) / size) for k, c in enumerate(counts) if c]
+    margins = [sum(x * float(model.weights[k, j]) for k, x in used) + float(model.bias[j]) for j in range(model.code.shape[1])]
+    loss = [sum(math.log1p(math.exp(-c * m)) for c, m in zip(word, margins, strict=True)) for word in model.code.tolist()]
+    best = min(range(len(loss)), key=lambda k: loss[k])
+    return model.languages[best], 1 / sum(math.exp(loss[best] - x) for x in loss)
+
+
+def test_predictions_against_plain_loops(spark):
+    rnd = random.Random(3)
+    sounds = {"en": "the ing er th on re and".split(), "de": "der sch ung ich ü ei ß".split(), "fr": "é eau que ment la ou ç".split(), "es": "ción ñ los que el ado".split()}
+    text = lambda lang: " ".join("".join(rnd.choices(sounds[lang], k=rnd.randrange(1, 4))) for _ in range(rnd.randrange(3, 30)))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(rnd.choices(list(sounds), k=200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.train(docs, ~li.held_out())
+    for r in li.identify(docs.where("doc_id < 60"), model, ["doc_id", "text"]).collect():
+        lang, score = plain_prediction(r.text, model)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-3

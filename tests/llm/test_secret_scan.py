@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import regex
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 from tarn.llm import secret_scan as ss
@@ -97,3 +98,54 @@ def test_empty_table(spark, model):
 def test_training_is_repeatable(spark, model):
     again = ss.train(ss.labelled_findings(spark))
     assert again.trees == model.trees
+
+
+def plain_features(value, before, after, path, words):
+    """The features one by one, in their order."""
+    import itertools
+
+    n = len(value)
+    share = lambda test: sum(map(test, value)) / n
+    kind = lambda c: "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "-"
+    parts = regex.findall("[A-Z]?[a-z]+|[A-Z]+", value)
+    near = (before[-30:] + " " + after[:15]).lower()
+    return [
+        min(n, 200), share(lambda c: c in "0123456789"), share(lambda c: "A" <= c <= "Z"), share(lambda c: kind(c) == "-"), len(set(value)) / n,
+        len(list(itertools.groupby(value, kind))) / n, share(lambda c: c in "aeiouAEIOU"), bool(regex.fullmatch("[0-9a-f]+|[0-9A-F]+", value)), sum(len(p) for p in parts if p.lower() in words) / n,
+        value.count("/"), bool(regex.match("AKIA|ASIA|gh[pousr]_|sk_|pk_|xox[abp]-|AIza|eyJ", value)), bool(regex.search("[=:]\\s{0,3}[\"']?$", before)), bool(regex.search("[\"'`]$", before)),
+        bool(regex.search(f"(?:^|[^a-z])(?:[a-z_]*_)?(?:{ss.FOR})s?(?![a-z])", near)), bool(regex.search(f"(?:^|[^a-z])(?:{ss.AGAINST})(?![a-z])", near)), bool(regex.search("test|example|sample|fixture|mock|docs?/", path.lower())),
+    ]
+
+
+def plain_scan(text, path, model):
+    out, at = [], 0
+    found = list(regex.finditer(ss.CANDIDATE, text))
+    for k, m in enumerate(found):
+        before = text[at : m.start()][-80:]
+        after = text[m.end() : found[k + 1].start() if k + 1 < len(found) else len(text)][:40]
+        x = plain_features(m[0], before, after, path, set(model.words))
+        votes = []
+        for tree in model.trees:
+            node = tree[0]
+            while len(node) > 1:
+                node = tree[node[2] if x[node[0]] <= node[1] else node[3]]
+            votes.append(node[0])
+        out.append((m.start(), m.end(), m[0], round(sum(votes) / len(votes), 6)))
+        at = m.end()
+    return out
+
+
+def test_scan_against_a_plain_version(spark, model):
+    findings = ss.labelled_findings(spark, 720).collect()
+    rnd = random.Random(12)
+    rows = []
+    for i in range(0, len(findings), 3):
+        part = findings[i : i + 3]
+        rows.append((i, " ü, then ".join(f.before + f.value + f.after for f in part) + rnd.choice(["", ".", "!!", "\n"]), rnd.choice(["src0", "tests/a.py", None])))
+    got = {}
+    for r in ss.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), model).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.value, r.probability))
+    for doc, text, path in rows:
+        want = plain_scan(text, path or "", model)
+        mine = sorted(got.get(doc, []))
+        assert [w[:3] for w in want] == [m[:3] for m in mine] and all(abs(w[3] - m[3]) < 2e-6 for w, m in zip(want, mine, strict=True)), text
