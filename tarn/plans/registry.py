@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as T
 from tarn.functions import urls as U
-from tarn.functions.words import BLOCK_TAGS, CRAWL_STOPWORDS, INDEX_STOPWORDS, IRREGULAR, SECTION_BREAK, SIMPLE_STOPWORDS
+from tarn.functions.words import BLOCK_TAGS, CRAWL_STOPWORDS, INDEX_STOPWORDS, IRREGULAR, ROCCHIO, SECTION_BREAK, SIMPLE_STOPWORDS
 from tarn.operators import crawl as C
 from tarn.operators import evaluate as E
 from tarn.operators import feedback as B
@@ -29,6 +29,7 @@ ORACLES: dict[str, str] = {}
 #: The words, phrases and patterns that the queries ask for.
 RANKED, TERMS = "th er nd", ("er", "nd", "th")
 BOOLEAN = {
+    "bool_term": ("th", "th"),
     "bool_and": ("th AND nd", "th AND nd"),
     "bool_or": ("sch OR que", "sch OR que"),
     "bool_not": ("NOT th", "NOT th"),
@@ -161,6 +162,12 @@ def postings_topterms(spark, sf_dir):
     return rows.select("term", "doc_id", "tf", F.array_join("positions", ",").alias("positions"))
 
 
+@registered("SELECT term, doc_id, CAST(count(*) AS INT) AS tf, md5(array_to_string(list_sort(list(CAST(pos AS INT))), ',')) AS positions_md5 FROM occ GROUP BY term, doc_id")
+def postings_all(spark, sf_dir):
+    """The posting lists of all terms, stop words included; positions as a digest."""
+    return index(spark, sf_dir).postings.select("term", "doc_id", "tf", F.md5(F.array_join("positions", ",")).alias("positions_md5"))
+
+
 # --- Boolean, phrase and wildcard queries ----------------------------------------------------------------------------
 
 
@@ -424,6 +431,25 @@ def personalised_bm25(spark, sf_dir):
     return R.top_k_per_query(scores, 10)
 
 
+@registered(
+    f""", marked AS (SELECT DISTINCT doc_id % 50 AS session_id, doc_id, quality FROM labels WHERE quality IN (0, 1)),
+ordered AS (SELECT session_id, quality, doc_id, term, tf, row_number() OVER (PARTITION BY session_id, doc_id ORDER BY tf DESC, term) AS r FROM marked JOIN dt USING (doc_id)),
+weighed AS (SELECT session_id, quality, doc_id, term, tf * greatest(0, log10(total / df)) AS w FROM ordered JOIN vocab USING (term), stats WHERE r <= 25),
+sizes AS (SELECT session_id, quality, count(DISTINCT doc_id) AS n FROM weighed WHERE w <> 0 GROUP BY ALL),
+parts AS (SELECT session_id, term, CASE quality WHEN 1 THEN {ROCCHIO[1]} ELSE -{ROCCHIO[2]} END * w / n AS x FROM weighed JOIN sizes USING (session_id, quality) WHERE w <> 0
+  UNION ALL SELECT session_id, term, {ROCCHIO[0]} * greatest(0, log10(total / df)) FROM (SELECT DISTINCT session_id FROM marked), (SELECT * FROM vocab WHERE term IN ({_quoted(TERMS)})), stats)
+SELECT session_id, term, round(sum(x), 6) AS weight FROM parts GROUP BY ALL HAVING round(sum(x), 6) > 0"""
+)
+def rocchio_both_sides(spark, sf_dir):
+    """The words of a query moved towards a session's good documents and away from its bad ones."""
+    x = index(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("session_id"), "doc_id", "quality")
+    vectors = lambda q: B.relevant_vectors(x, labels.where(F.col("quality") == q).select("session_id", "doc_id"))
+    asked = R.query_vectors(x, Q.query_terms(x, RANKED).select(F.lit(0).alias("query_id"), "*")).select("term", F.col("q_weight").alias("weight"))
+    sessions = labels.where("quality in (0, 1)").select("session_id").distinct().crossJoin(F.broadcast(asked))  # the words of one query
+    return B.rocchio(sessions, vectors(1), vectors(0)).select("session_id", "term", F.round("weight", 6).alias("weight")).where("weight > 0")
+
+
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
 _JUDGED = ", relevant AS (SELECT DISTINCT a.query_id, l.doc_id FROM asked a JOIN labels l ON l.quality = 1 AND l.doc_id % 40 = a.query_id % 40), sizes AS (SELECT query_id, count(*) AS n FROM relevant GROUP BY query_id)"
