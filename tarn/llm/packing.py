@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, map_arrow, table, utf8_parts
-from .shingles import eight_bytes, pieces, word_hashes, word_places
+from .lookup import look_up
+from .shingles import pieces, word_hashes, word_places
 
 CAPACITY = 4096
 #: A longer remainder is cut, so that a window holds several pieces and sums can be balanced.
@@ -182,26 +183,7 @@ class WordEncoder:
     def _piece(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of the words of a piece, the number of ids of each, and the ids."""
         start, length = self._with_tails(data, *word_places(data, cuts))
-        if not len(start):
-            return start, length, np.zeros(0, "<u4")
-        _, first, which = np.unique(word_hashes(data, start, length), return_index=True, return_inverse=True)
-        raw, lanes = data.tobytes(), eight_bytes(data)
-        twin = first[which]
-        same = length == length[twin]
-        same &= (lanes[start] ^ lanes[start[twin]]) << (64 - 8 * np.minimum(length, 8)).astype(np.uint64) == 0
-        long = np.flatnonzero(length > 8)
-        same[long] &= (lanes[start[long] + 8] ^ lanes[start[twin[long]] + 8]) << (64 - 8 * np.minimum(length[long] - 8, 8)).astype(np.uint64) == 0
-        longer = np.flatnonzero(length > 16)
-        spans = zip(start[longer].tolist(), start[twin[longer]].tolist(), length[longer].tolist(), strict=True)
-        same[longer] &= np.array([raw[a + 16 : a + n] == raw[b + 16 : b + n] for a, b, n in spans], bool)
-        if not same.all():  # two words with one hash: all words of the piece by themselves
-            first = which = np.arange(len(start))
-        ids = self._ids_of([raw[a : a + n] for a, n in zip(start[first].tolist(), length[first].tolist(), strict=True)])
-        sizes = np.array(list(map(len, ids)), np.int64) // 4
-        found, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
-        counts = sizes[which]
-        before = np.cumsum(counts) - counts
-        return start, counts, found[np.repeat(at[which] - before, counts) + np.arange(int(counts.sum()))]
+        return start, *look_up(data, start, length, self._ids_of, word_hashes)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (UTF-8 bytes and n + 1 offsets) one after another, and the n + 1 offsets of each text's ids; with ``end_id`` after each text."""

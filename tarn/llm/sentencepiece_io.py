@@ -5,7 +5,7 @@ BPE merges and byte fallback are rebuilt as a tokenizers pipeline. Batches are e
 
 A text is encoded word by word where the vocabulary allows it (no piece has the white-space mark after
 another character, none holds a line feed): then no piece reaches across a word's start or a line feed, and the ids
-of the words, in order, are those of the text. Words are remembered up to a bound.
+of the words, in order, are those of the text. Distinct words of a piece of text are looked up once and remembered up to a bound, and ids are gathered with numpy.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from __future__ import annotations
 import functools
 import itertools
 import os
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, map_arrow, table
+from .common import batches_of, chunks, map_arrow, table, utf8_parts
+from .lookup import gather, look_up
 
 MARK = "▁"
 CACHE_WORDS = 250_000
+#: Bytes of text that are encoded at once.
+PIECE_BYTES = 1 << 21
 #: Threads of the tokenizers library in a Python worker.
 THREADS = 2
 #: Piece types of the model format.
@@ -139,8 +141,6 @@ def build_tokenizer(m: PieceModel, whole: bool = True):
 class PieceCodec:
     """Encodes texts to ids and back; one for a worker."""
 
-    _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-
     def __init__(self, data: bytes, most: int = CACHE_WORDS):
         from tokenizers import pre_tokenizers
 
@@ -155,8 +155,10 @@ class PieceCodec:
         self.known, self.most = {}, most
         if self.by_word:
             self.line_feed = self.words.token_to_id("<0x0A>")
-            self.known["\n"] = np.array([self.line_feed], "<u4").tobytes()
-        self.bytes_of = [self._bytes(i) for i in range(len(m.pieces))]
+            self.known[b"\n"] = np.array([self.line_feed], "<u4").tobytes()
+        decoded = [self._bytes(i) for i in range(len(m.pieces))]
+        self.sizes, self.letters = np.array(list(map(len, decoded)), np.int64), np.frombuffer(b"".join(decoded), np.uint8)
+        self.places = np.cumsum(self.sizes) - self.sizes
 
     def _bytes(self, i: int) -> bytes:
         """What the rebuilt decoder makes of a piece inside a text."""
@@ -174,31 +176,80 @@ class PieceCodec:
             raw = ids.tobytes()
             yield from (raw[a:b] for a, b in zip([0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), len(raw)], strict=True))
 
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, in which spaces stand for the mark."""
+        ids = list(map(self.known.get, words))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        if missing:
+            new = [words[k] for k in missing]
+            found = list(self._encode_words([w.decode().replace(" ", MARK) for w in new]))
+            for k, x in zip(missing, found, strict=True):
+                ids[k] = x
+            if len(self.known) + len(found) > self.most:
+                self.known = dict(itertools.islice(self.known.items(), len(self.known) // 2, None)) | {b"\n": self.known[b"\n"]}
+            self.known.update(zip(new, found, strict=True))
+        return ids
+
+    def encode_parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8 bytes and n + 1 offsets) one after another, and the n + 1 offsets of each text's ids."""
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        sizes = np.diff(offsets)
+        marks = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)) if len(data) > 2 else []
+        if not self.by_word or len(marks):  # or a text has the mark itself
+            raw = data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            ids = [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *ids]), np.cumsum([0, *map(len, ids)])
+        at = offsets + np.concatenate([[0], np.cumsum(sizes > 0)])  # with a space before each text that isn't empty
+        spaced = np.full(at[-1], 32, np.uint8)
+        own = np.ones(len(spaced), bool)
+        own[at[:-1][sizes > 0]] = False
+        spaced[own] = data
+        starts, counts, ids = [], [], []
+        begin, n = 0, len(spaced)
+        while begin < n:
+            stop, most = n, PIECE_BYTES
+            while begin + most < n:  # a piece ends where a word begins
+                window = spaced[begin : begin + most]
+                edge = np.flatnonzero((window[1:] == 32) & (window[:-1] != 32))
+                if len(edge):
+                    stop = begin + int(edge[-1]) + 1
+                    break
+                most *= 2
+            piece, cuts = spaced[begin:stop], at[(at > begin) & (at < stop)] - begin
+            space, feed = piece == 32, piece == 10
+            first = feed.copy()
+            first[1:] |= (space[1:] & ~space[:-1]) | (~space[1:] & feed[:-1])
+            first[0] = first[cuts] = True
+            start = np.flatnonzero(first)
+            number, found = look_up(piece, start, np.diff(np.append(start, len(piece))), self._ids_of)
+            starts.append(start + begin)
+            counts.append(number)
+            ids.append(found)
+            begin = stop
+        none = np.zeros(0, np.int64)
+        sums = np.concatenate([[0], np.cumsum(np.concatenate([none, *counts]))])
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), sums[np.searchsorted(np.concatenate([none, *starts]), at, "left")]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
-        if not self.by_word:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [self._WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        here = dict.fromkeys(itertools.chain.from_iterable(split))
-        here = dict(zip(here, map(self.known.get, here), strict=True))
-        if new := [w for w, ids in here.items() if ids is None]:
-            fresh = dict(zip(new, self._encode_words(new), strict=True))
-            here.update(fresh)
-            if len(self.known) + len(fresh) > self.most:
-                self.known = dict(itertools.islice(self.known.items(), len(self.known) // 2, None)) | {"\n": here.get("\n") or np.array([self.line_feed], "<u4").tobytes()}
-            self.known.update(fresh)
-        return [b"".join(map(here.__getitem__, x)) for x in split]
+        raw = [t.encode() for t in texts]
+        ids, at = self.encode_parts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """By the decoder's bytes of each piece; ids whose bytes are no UTF-8 go through the decoder itself."""
+        numbers = np.frombuffer(b"".join(ids), "<u4")
+        sizes = self.sizes[numbers]
+        whole = gather(self.letters, self.places[numbers], sizes).tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *(len(x) // 4 for x in ids)])].tolist()
         out = []
-        for x in ids:
-            numbers = np.frombuffer(x, "<u4").tolist()
+        for x, a, b in zip(ids, ends[:-1], ends[1:], strict=True):
             try:
-                text = b"".join(map(self.bytes_of.__getitem__, numbers)).decode()
+                text = whole[a:b].decode()
                 out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
             except UnicodeDecodeError:
-                out.append(self.words.decode(numbers, skip_special_tokens=False))
+                out.append(self.words.decode(np.frombuffer(x, "<u4").tolist(), skip_special_tokens=False))
         return out
 
 
@@ -215,10 +266,15 @@ def encode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         codec = _codec(model)
-        for batch in batches_of(batches, 64):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            ids = [x if t is not None else None for x, t in zip(codec.encode([t or "" for t in texts]), texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], [*carry, "ids"])
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            data, offsets = utf8_parts(column)
+            there = column.is_valid().to_pylist()
+            for a, b in chunks(offsets, PIECE_BYTES):
+                ids, at = codec.encode_parts(data, offsets[a : b + 1])
+                raw, at = ids.tobytes(), (4 * at).tolist()
+                found = [raw[x:y] if t else None for x, y, t in zip(at[:-1], at[1:], there[a:b], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(found, pa.binary())], [*carry, "ids"])
 
     return map_arrow(docs.select(*carry, F.col(text).alias("__text")), run, docs.select(*carry).schema.add("ids", "binary"))
 

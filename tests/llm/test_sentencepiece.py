@@ -40,6 +40,14 @@ def test_ids_are_the_librarys(seed):
     assert sp.parity([t or "" for t in random_texts(seed)], PATH) == []
 
 
+@pytest.mark.parametrize("piece", [8, 100])
+def test_pieces_of_a_text_end_where_words_begin(monkeypatch, piece):
+    monkeypatch.setattr(sp, "PIECE_BYTES", piece)
+    rnd = random.Random(piece)
+    letters = [x for x in ALPHABET if "▁" not in x]
+    assert sp.parity(["".join(rnd.choices(letters, k=rnd.randrange(60))) for _ in range(300)], PATH) == []
+
+
 @pytest.mark.parametrize("fallback", [False, True])
 def test_unigram_model(fallback):
     pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else [])
