@@ -77,7 +77,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 24, seed: int = 11, block
     """
     docs = docs.drop("shard", "slot")
     spark = docs.sparkSession
-    hashed = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    hashed = [F.to_json(c) if "map<" in kind or "variant" in kind else F.col(c) for c, kind in docs.dtypes]  # these have no hash
     spread = docs.withColumn("__h", F.xxhash64(F.lit(seed), *hashed))
     total = docs.count()
     blocks = max(1, min(MAX_BLOCKS, -(-total // block_rows)))

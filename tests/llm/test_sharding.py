@@ -83,3 +83,10 @@ def test_query(spark, tmp_path):
     got = {r.doc_id: r for r in sharding.op8_sharding(spark, str(tmp_path)).collect()}
     assert got[1].size == 12 and got[1].text_crc32 == zlib.crc32("für".encode()) and got[2].size == 8 and got[2].text_crc32 == 0
     assert got[1].law == "rows" and got[1].grown_shard is None
+
+
+def test_maps_and_nested_columns_take_part_in_the_order(spark):
+    docs = spark.range(60).selectExpr("id % 2 AS doc_id", "'same' AS text", "map('k', id) AS m", "array(named_struct('a', map(1, id))) AS nested", "parse_json(concat('{\"v\":', id, '}')) AS v")
+    place = lambda d: {r.n: (r.shard, r.slot) for r in sharding.shuffle_into_shards(d, shards=5, block_rows=7).selectExpr("m['k'] AS n", "shard", "slot").collect()}
+    first = place(docs)
+    assert len(first) == 60 and first == place(docs.repartition(7)) and len(set(first.values())) == 60
