@@ -9,12 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tarn.tables import clear_tables, materialise, shared_dir, table_path  # noqa: F401  for the operators
+from tarn.tables import clear_tables, fewer_files, materialise, shared_dir, table_path  # noqa: F401  for the operators
 
 #: Bytes of text that the vectorised passes work on at once; a longer text is a piece of its own.
 CHUNK_BYTES = 1 << 19
-#: Rows and bytes in an Arrow batch.
-ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
+#: Rows and bytes in an Arrow batch; rows of a Parquet batch, whose texts are held in one array each.
+ARROW_ROWS, ARROW_BYTES, PARQUET_ROWS = 1024, 16 << 20, 1024
+_BOUNDS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS,
+    "spark.sql.execution.arrow.maxBytesPerBatch": ARROW_BYTES,
+    "spark.sql.parquet.columnarReaderBatchSize": PARQUET_ROWS,
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +30,7 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     """``mapInArrow`` in batches of ARROW_ROWS rows and about ARROW_BYTES at most, as texts can be long. The bounds are settings of the session,
     lowered where they are higher."""
     conf = df.sparkSession.conf
-    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
-        name = f"spark.sql.execution.arrow.{name}"
+    for name, most in _BOUNDS.items():
         now = conf.get(name).lower().rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(name, str(most))

@@ -11,6 +11,7 @@ chosen by a hash of the document id); everything else reads whole texts of all d
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -137,16 +138,20 @@ def train(docs: DataFrame, eligible: Column, most: int = TRAIN_DOCS) -> Language
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 512):
             data, at = utf8_parts(batch.column(1))
-            x = [features(data[at[k] : at[k + 1]]).astype(np.float16).tobytes() for k in range(batch.num_rows)]
+            x = [zlib.compress(features(data[at[k] : at[k + 1]]).astype(np.float16).tobytes(), 1) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["lang", "x"])
 
-    got = sorted((r["lang"], bytes(r["x"])) for r in map_arrow(sample, measure, "lang string, x binary").collect())
-    present = sorted({lang for lang, _ in got}) or languages
-    if not got:
+    got = map_arrow(sample, measure, "lang string, x binary").withColumn("key", F.xxhash64("x")).toArrow().combine_chunks()  # about ``most`` rows of some kB
+    langs = got["lang"].to_pylist()
+    present = sorted(set(langs)) or languages
+    if not langs:
         return LanguageModel(tuple(present[:1]), np.ones((1, 1), np.int8), np.zeros((FEATURES, 1), np.float32), np.zeros(1, np.float32))
-    x = np.stack([np.frombuffer(v, np.float16) for _, v in got]).astype(np.float32)
-    y = np.array([present.index(lang) for lang, _ in got])
-    return fit(x, y, present)
+    y = np.array([present.index(lang) for lang in langs])
+    order = np.lexsort((got["key"].to_numpy(), y))  # sums don't depend on the order in which rows came
+    x, packed = np.empty((len(y), FEATURES), np.float32), got["x"].take(pa.array(order)).to_pylist()
+    for k, row in enumerate(packed):
+        x[k] = np.frombuffer(zlib.decompress(row), np.float16)
+    return fit(x, y[order], present)
 
 
 def identify(docs: DataFrame, model: LanguageModel, carry: list[str]) -> DataFrame:

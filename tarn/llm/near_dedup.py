@@ -130,12 +130,14 @@ def _sizes_allow(a: str, b: str, s: NearDedup) -> Column:
 def shingle_tables(docs: DataFrame, nodes: DataFrame, s: NearDedup) -> DataFrame:
     """node and items (its sorted shingle set, 64-bit) of ``nodes`` (node, first, set_key), from the texts that they stand for."""
     wanted = nodes.select("node", "set_key", F.col("first.text_key").alias("__key"), F.col("first.doc_id").alias("__id"))
-    found = docs.join(wanted, (_text_key() == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    found = docs.join(wanted.hint("shuffle_hash"), (_text_key() == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
 
     def items_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows lie in one partition
         for batch in batches_of(batches, 256):
             sets = shingle_sets(batch.column(2), s.width)
-            mine = [k for k, (x, key) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if set_key(x) == key]  # else a text with the same hash
+            rows = enumerate(zip(batch.column(0).to_pylist(), sets, batch.column(1).to_pylist(), strict=True))
+            mine = [k for k, (node, x, key) in rows if set_key(x) == key and not (node in seen or seen.add(node))]  # else a text with the same hash
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(mine, pa.int64())), pa.array([sets[k].tobytes() for k in mine], pa.binary())], ["node", "items"])
 
     return map_arrow(found.select("node", "set_key", "text"), items_of, "node long, items binary")
@@ -275,9 +277,6 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, s: NearDedup) -> DataFrame:
     members = materialise(in_bucket.join(shared, "bucket"), "near-buckets")
     sets = shingle_tables(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), s)
     sets = materialise(sets, "near-sets")
-    again = sets.groupBy("node").count().where("count > 1").select("node")  # rows may be repeated
-    if not again.isEmpty():
-        sets = materialise(sets.join(again, "node", "left_anti").unionByName(sets.join(again, "node", "left_semi").dropDuplicates(["node"])), "near-sets")
     known = nodes.select("node", "n_shingles", "sketch")
     labels = None  # (node, label) of linked nodes so far
 
@@ -364,11 +363,11 @@ def one_of_each_class(docs: DataFrame, settings: NearDedup | None = None) -> Dat
     rows = classes(docs, settings).groupBy("doc_id", "text_key").agg(F.bool_and("best").alias("best"), (F.sum(F.sign("n_shingles")) > 1).alias("repeated"))
     marked = materialise(rows.where("not best or repeated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "best"), "near-marked")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_text_key() == F.col("__key"))
-    left = docs.join(marked.select("__id", "__key"), same, "left_anti")
+    left = docs.join(marked.select("__id", "__key").hint("shuffle_hash"), same, "left_anti")  # texts are streamed past the ids, not sorted
     again = marked.where("best")
     if again.isEmpty():
         return left
-    return left.unionByName(docs.join(again, same).dropDuplicates(["__id", "__key"]).select(*docs.columns))
+    return left.unionByName(docs.join(again.hint("shuffle_hash"), same).dropDuplicates(["__id", "__key"]).select(*docs.columns))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,28 @@ def test_quality_stage_judges_rows_of_one_id_each_and_without_id(spark):
     rows += [(i, t, "en", "src0", len(t)) for i in (5000, None) for t in (good, junk, "short text")]
     left = cp.by_quality(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert [r.text for r in left if r.doc_id in (5000, None)] == [good, good]
+
+
+def test_near_duplicates_without_ids_with_one_id_and_repeated(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(None, a), (None, a), (None, a + " tail"), (5, b), (5, b + " tail"), (5, b), (5, c), (6, c), (6, c), (None, c), (7, None), (7, None), (8, ""), (9, "lone words stand here alone")]
+    docs = spark.createDataFrame([(*r, None, "x", 1, "more") for r in rows], SCHEMA + ", extra string")
+    got = cp.without_near_duplicates(spark, docs, "")
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    assert got.columns == list(cp.COLUMNS)
+    one_a = [t for i, t in left if i is None]
+    assert len(one_a) == 1 and one_a[0] in (a, a + " tail")
+    fives = [t for i, t in left if i == 5]
+    assert sorted(t[:2] for t in fives) == ["b0", "c0"]
+    assert sorted(i for i, _ in left if i is not None) == [5, 5, 7, 7, 8, 9]
+
+
+def test_stages_with_nulls_in_every_column(spark):
+    rows = [r for r in corpus() if r[0] < 120 and r[0] % 20 != 4]
+    rows += [(None, None, None, None, None), (3, rows[0][1], None, None, None), (None, rows[1][1], None, "src0", 5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name, stage in cp.STAGES:
+        got = stage(spark, docs, "").collect()
+        assert got and (name == "packing" or all(r.text is not None for r in got) or name in ("near_dedup", "secret_scan")), name
+    masked = cp.without_secrets(spark, docs, "").where("text is null").collect()
+    assert [(r.text, r.n_chars) for r in masked] == [(None, None)]

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from tarn.llm import quality
 
 
@@ -102,3 +103,14 @@ def test_adaptive_words_of_a_language_stay_its_own(spark):
     rows = [(i, text(4), "en", "x") for i in range(500)] + [(500 + i, text(14), "fi", "x") for i in range(110)] + [(900, text(30), "fi", "x"), (901, text(14), "en", "x")]
     got = quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("not kept").collect()
     assert {r.doc_id for r in got} == {900, 901}
+
+
+def test_rows_are_kept_whole_with_clashing_columns_nulls_and_repeats(spark):
+    rows = [(*r[:4], 1.5, "k", [1]) for r in corpus() if r[0] % 10] + [(None, corpus()[1][1], None, None, 1.0, None, None), (7, None, "en", "x", 1.0, "k", None), (7, "", "en", "x", 1.0, "k", None)]
+    rows += [rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words double, kept string, row array<int>")
+    got = quality.keep_good(docs)
+    assert got.columns == docs.columns and sorted(map(repr, got.collect())) == sorted(repr(r) for r in docs.collect() if r.text)
+    same = docs.withColumns({"base_failed": F.lit("x"), "cut_repeat_share": F.lit(0), "__lang": F.lit(1), "level": F.lit("y")})
+    assert quality.quality_verdicts(same).where("kept").count() == got.count()
+    assert quality.keep_good(docs.where("false")).collect() == []
