@@ -32,6 +32,25 @@ def table_path(spark: SparkSession, tag: str) -> str:
     return f"{_own(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Bytes of input of a task in ``fewer_files``.
+WRITE_BYTES = 128 << 20
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+
+
+def _bytes(setting: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)([a-z]*)", setting.strip().lower()).groups()
+    return int(number) * _UNITS[unit]
+
+
+def fewer_files(df: DataFrame) -> DataFrame:
+    """A table of files, read in so few tasks that each has about WRITE_BYTES of input where splits are set smaller, but two for each core at
+    least: what is written from it then are files of a useful size. For narrow plans: a join on top could be pushed below
+    the coalescing and keep its hash tables for as long as a task runs."""
+    conf, cores = df.sparkSession.conf, df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.coalesce(max(2 * cores, -(-splits * _bytes(conf.get("spark.sql.files.maxPartitionBytes")) // WRITE_BYTES)))
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
 
